@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, url_reputation
-from .common import table
+from . import chat, exact_dedup, mixing, near_dedup, packing, url_reputation
+from .common import materialize, table
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,23 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_reputation, op2_source_mixing, op8_exact_dedup, op9_chat_format)}
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = materialize(packing.tokenize(table(spark, sf_dir, "documents"), vocabulary()), "pieces")
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_url_reputation, op2_source_mixing, op6_minhash_near_dedup, op8_exact_dedup, op9_chat_format, op10_best_fit_packing)}
 
 _OP1 = """
 WITH p AS (
@@ -81,6 +97,20 @@ k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM f WHERE served <= (SELECT s
 SELECT u.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM u LEFT JOIN k USING (doc_id)
 """
 
+#: A query of quadratic cost, for small tables: all pairs of documents that share a shingle.
+_OP6 = r"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 3 THEN array_to_string(w, ' ') ELSE array_to_string(w[i:i + 2], ' ') END AS g
+      FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM t WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+e AS (SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id
+      GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 85 * (x.n + y.n - count(*))),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT u.b, r.c FROM r JOIN u ON u.a = r.doc_id WHERE r.c < u.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_id, min(r.c) = d.doc_id AS kept
+FROM documents d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n
+"""
+
 _OP8 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
@@ -101,4 +131,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e JOIN g USING (conv_id) GROUP BY conv_id
 """
 
-SQL = {"op1_url_reputation": _OP1, "op2_source_mixing": _OP2, "op8_exact_dedup": _OP8, "op9_chat_format": _OP9}
+SQL = {"op1_url_reputation": _OP1, "op2_source_mixing": _OP2, "op6_minhash_near_dedup": _OP6, "op8_exact_dedup": _OP8, "op9_chat_format": _OP9}
