@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, near_dedup, packing, url_reputation
+from . import chat, exact_dedup, mixing, near_dedup, packing, toxicity, url_reputation
 from .common import materialize, table
 
 
@@ -31,6 +31,13 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
@@ -47,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_reputation, op2_source_mixing, op6_minhash_near_dedup, op8_exact_dedup, op9_chat_format, op10_best_fit_packing)}
+    op1_url_reputation, op2_source_mixing, op5_toxicity, op6_minhash_near_dedup, op8_exact_dedup, op9_chat_format, op10_best_fit_packing)}
 
 _OP1 = """
 WITH p AS (
