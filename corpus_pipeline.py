@@ -1,10 +1,70 @@
-"""From raw documents to packed sequences (stages follow)."""
+"""From raw documents to packed sequences.
+
+Every stage takes (spark, docs, sf_dir) and all that its predecessor kept, written as Parquet and read
+again. All but the last return the columns of ``documents``.
+"""
+
 from __future__ import annotations
 
-STAGES = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trellis.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from trellis.llm.common import broadcast_if, materialize, table
+from trellis.llm.queries import vocabulary
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+TOXIC = 0.3
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents of a table of ids: sent whole where its count proves it small, else a join."""
+    ids = materialize(ids.select("doc_id"), "kept")
+    return docs.join(broadcast_if(ids, ids.count(), 16), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents that score TOXIC or more."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, carry=COLUMNS[1:]).where(F.col("score") < TOXIC).select(*COLUMNS)
+
+
+def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the smallest id stays."""
+    return _only(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+
+
+def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents that near-duplicate links connect (five words, similarity 0.8) the smallest id stays."""
+    return _only(docs, near_dedup.near_duplicates(docs, shingle=5, percent=80).where("kept"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it. Documents without words take no words from the mix and stay once."""
+    mixed = mixing.mix(docs)
+    passes = materialize(mixed.select("doc_id", F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int")).alias("passes")).where("passes > 0"), "passes")
+    often = docs.join(broadcast_if(passes, passes.count(), 24), "doc_id")
+    return often.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 4096 tokens: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    pieces = materialize(packing.tokenize(docs, vocabulary()), "pieces")
+    return packing.pack(pieces).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", remove_toxic), ("exact dedup", remove_copies), ("near-dedup", remove_near_copies),
+    ("mixing", mix_sources), ("packing", pack_sequences),
+]
+#: A trained model, MinHash and a tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = materialize(docs, f"stage-{k}")
     return docs

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, near_dedup, packing, toxicity, url_reputation
-from .common import materialize, table
+from . import ann, chat, exact_dedup, html_text, mixing, near_dedup, packing, toxicity, url_reputation, warc
+from .common import materialize, shared_dir, table
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +19,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_archives(spark, path, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="max")
 
@@ -31,6 +39,15 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(turns))
 
 
+def op3_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
@@ -54,7 +71,8 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_reputation, op2_source_mixing, op5_toxicity, op6_minhash_near_dedup, op8_exact_dedup, op9_chat_format, op10_best_fit_packing)}
+    op1_url_reputation, op2_source_mixing, op3_collision_ann, op4_html_text, op5_toxicity,
+    op6_minhash_near_dedup, op7_warc, op8_exact_dedup, op9_chat_format, op10_best_fit_packing)}
 
 _OP1 = """
 WITH p AS (
@@ -118,6 +136,17 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, min(r.c) AS component_i
 FROM documents d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id, n.n
 """
 
+_OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS x FROM pages),
+d AS (SELECT DISTINCT h, x FROM p),
+b AS (SELECT h, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(x, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1), '' ORDER BY i) AS b32
+      FROM d, range(32) r(i) GROUP BY h),
+m AS (SELECT h, max(page_id) AS top FROM p GROUP BY h)
+SELECT page_id, strlen(p.h)::BIGINT AS payload_bytes, b32 AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM p JOIN b ON p.h = b.h JOIN m ON p.h = m.h
+"""
+
 _OP8 = """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
@@ -138,4 +167,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e JOIN g USING (conv_id) GROUP BY conv_id
 """
 
-SQL = {"op1_url_reputation": _OP1, "op2_source_mixing": _OP2, "op6_minhash_near_dedup": _OP6, "op8_exact_dedup": _OP8, "op9_chat_format": _OP9}
+SQL = {"op1_url_reputation": _OP1, "op2_source_mixing": _OP2, "op6_minhash_near_dedup": _OP6, "op7_warc": _OP7, "op8_exact_dedup": _OP8, "op9_chat_format": _OP9}
