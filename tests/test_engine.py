@@ -212,3 +212,11 @@ def test_stream(s):
 
 def test_export(s, spark):
     assert '"room_code"' in s.catalog.export(spark)
+
+
+def test_cbor_stream(s):
+    from trellis.sources import cbor
+    from trellis.streaming.rows import cbor_chunks, values
+
+    q = {"relation": "room", "order_by": [dot("id")], "limit": 1}
+    assert cbor.loads(b"".join(cbor_chunks(values(s.frame(q))))) == [{"id": 1, "hotel_id": 1, "code": "A1", "tags": ["sea", "tv"], "price": Decimal("100.00")}]

@@ -156,6 +156,29 @@ add("e4_casts_and_dates", {"relation": "orders", "select": {"k": dot("o_orderkey
 add("e5_function_in_expression", {"relation": "part", "select": {"k": dot("p_partkey"), "tax": ["call", "round", ["call", "with_tax", dot("p_retailprice")], 3], "g": ["call", "greatest", dot("p_size"), 25], "n": ["call", "nullif", dot("p_size"), 1]}},
     "SELECT p_partkey AS k, round(p_retailprice * 1.2::DOUBLE, 3) AS tax, greatest(p_size, 25) AS g, nullif(p_size, 1) AS n FROM part")
 
+def _span(low: Any, high: Any) -> dict:
+    return {"lower": low, "upper": high, "lower_inc": True, "upper_inc": False}
+
+
+_SIZE = _span(dot("p_size"), ["+", dot("p_size"), 10])
+add("e6_ranges", {"relation": "part", "select": {
+    "k": dot("p_partkey"), "holds": ["@>", _SIZE, 15], "inside": ["<@", _SIZE, _span(5, 30)], "meets": ["&&", _SIZE, _span(20, 25)], "before": ["<<", _SIZE, _span(30, 40)],
+    "after": [">>", _SIZE, _span(0, 12)], "touches": ["-|-", _SIZE, _span(30, 40)], "not_right": ["&<", _SIZE, _span(0, 30)], "not_left": ["&>", _SIZE, _span(12, 13)]}},
+    "SELECT p_partkey AS k, p_size <= 15 AND p_size + 10 > 15 AS holds, p_size >= 5 AND p_size + 10 <= 30 AS inside, p_size < 25 AND p_size + 10 > 20 AS meets, p_size + 10 <= 30 AS before, "
+    "p_size >= 12 AS after, p_size + 10 = 30 OR p_size = 40 AS touches, p_size + 10 <= 30 AS not_right, p_size >= 12 AS not_left FROM part")
+add("e7_distance", {"relation": "part", "select": {"k": dot("p_partkey"), "d": ["call", "round", ["<->", {"x": dot("p_size"), "y": 0}, {"x": 3, "y": 4}], 9]}}, "SELECT p_partkey AS k, round(sqrt((p_size - 3) ** 2 + 16), 9) AS d FROM part")
+add("e9_text_functions", {"relation": "customer", "select": {
+    "k": dot("c_custkey"), "len": ["call", "length", dot("c_name")], "left": ["call", "left", dot("c_name"), -3], "right": ["call", "right", dot("c_name"), 3], "rep": ["call", "repeat", "ab", 2], "repl": ["call", "replace", dot("c_name"), "Customer", "C"],
+    "rev": ["call", "reverse", dot("c_mktsegment")], "pos": ["call", "strpos", dot("c_name"), "#"], "tr": ["call", "translate", dot("c_mktsegment"), "AEI", "aei"], "md5": ["call", "md5", dot("c_name")], "starts": ["call", "starts_with", dot("c_mktsegment"), "B"],
+    "once": ["call", "regexp_replace", dot("c_name"), "0", "x"], "every": ["call", "regexp_replace", dot("c_name"), "0", "x", "g"], "arr": ["call", "array_to_string", ["call", "string_to_array", dot("c_name"), "#"], "|"], "quoted": ["call", "quote_literal", "it's"]}},
+    "SELECT c_custkey AS k, length(c_name)::INT AS len, left(c_name, length(c_name) - 3) AS left, right(c_name, 3) AS right, 'abab' AS rep, replace(c_name, 'Customer', 'C') AS repl, reverse(c_mktsegment) AS rev, instr(c_name, '#')::INT AS pos, "
+    "translate(c_mktsegment, 'AEI', 'aei') AS tr, md5(c_name) AS md5, starts_with(c_mktsegment, 'B') AS starts, regexp_replace(c_name, '0', 'x') AS once, regexp_replace(c_name, '0', 'x', 'g') AS every, replace(c_name, '#', '|') AS arr, '''it''''s''' AS quoted FROM customer")
+add("s2_view_scan", {"relation": "customer", "join": {"big": {"relation": "big_orders", "on": {"o_custkey": "c_custkey"}}}, "select": {"c": dot("c_custkey"), "n": ["agg", "count", [dot("big")]]}},
+    "SELECT c_custkey AS c, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_totalprice >= 200000)::BIGINT AS n FROM customer")
+add("s11_schema", {"relation": "region", "schema": "few"}, "SELECT * FROM region WHERE r_regionkey < 2")
+add("s7_overloads", {"relation": "part", "select": {"k": dot("p_partkey"), "a": ["call", "round", ["call", "with_tax", dot("p_retailprice")], 4], "b": ["call", "round", ["call", "with_tax", dot("p_retailprice"), 0.5], 4]}},
+    "SELECT p_partkey AS k, round(p_retailprice * 1.2::DOUBLE, 4) AS a, round(p_retailprice * 1.5::DOUBLE, 4) AS b FROM part")
+
 # other front ends
 _GET = "relation=orders&where=and(gte(o_totalprice,300000),in(o_orderstatus,'F','O'))&select=k:o_orderkey,cust.c_name&order_by=-o_totalprice,o_orderkey&limit=25&join.cust.relation=customer&join.cust.on.c_custkey=o_custkey"
 add("e12_query_string", querystring.decode(_GET.replace("cust.c_name&", "who:cust.c_name&")),
@@ -173,6 +196,7 @@ def _after(relation: str, request: dict) -> Callable[[Session], DataFrame]:
     return run
 
 
+ORDERS = {"relation": "orders", "on": {"o_custkey": "c_custkey"}}
 _NATIONS = {"n_nationkey": dot("n_nationkey"), "n_name": dot("n_name"), "n_regionkey": dot("n_regionkey")}
 _REGION = {"relation": "region", "write_mode": "upsert", "join": {"n": {"relation": "nation", "on": {"n_regionkey": "r_regionkey"}, "select": {"n_nationkey": dot("n_nationkey"), "n_name": dot("n_name")}}}, "select": {"r_regionkey": dot("r_regionkey"), "r_name": dot("r_name"), "n": dot("n")}}
 _PAYLOAD = [{"r_regionkey": 1, "r_name": "NEW", "n": [{"n_nationkey": 1, "n_name": "ONE"}, {"n_nationkey": 90, "n_name": "NINETY"}]}, {"r_regionkey": 7, "r_name": "SEVEN", "n": []}, {"r_regionkey": 2, "r_name": "KEPT"}]
@@ -187,6 +211,32 @@ add_function("w7_update_existing", _after("nation", {"query": {"relation": "nati
 add_function("w9_update_where", _after("customer", {"query": {"relation": "customer", "write_mode": "update", "where": ["<", dot("c_acctbal"), 0], "select": {"c_custkey": dot("c_custkey"), "c_mktsegment": dot("c_mktsegment")}}, "data": {"c_mktsegment": "OVERDRAWN"}}),
              "SELECT c_custkey, c_name, c_nationkey, c_acctbal, CASE WHEN c_acctbal < 0 THEN 'OVERDRAWN' ELSE c_mktsegment END AS c_mktsegment FROM customer")
 add_function("w10_delete_where", _after("orders", {"query": {"relation": "orders", "write_mode": "delete", "where": ["=", dot("o_orderstatus"), "F"]}, "returns": "none", "stats": True}), "SELECT * FROM orders WHERE o_orderstatus <> 'F'")
+_CHILDREN = {"n_nationkey": dot("n_nationkey"), "n_name": dot("n_name")}
+
+
+def _nested(mode: str, **more: Any) -> dict:
+    return {"relation": "region", "write_mode": "update-existing", "join": {"n": {"relation": "nation", "on": {"n_regionkey": "r_regionkey"}, "write_mode": mode, "select": _CHILDREN, **more}}, "select": {"r_regionkey": dot("r_regionkey"), "n": dot("n")}}
+
+
+_TWO = [{"r_regionkey": 1, "n": [{"n_nationkey": 1, "n_name": "ONE"}, {"n_nationkey": 90, "n_name": "NINETY"}]}, {"r_regionkey": 2}]
+add_function("w6_merge_new", _after("nation", {"query": _nested("merge-new"), "data": _TWO}), "SELECT * FROM nation WHERE n_regionkey <> 1 OR n_nationkey = 1 UNION ALL VALUES (90, 'NINETY', 1)")
+add_function("w7_merge_update", _after("nation", {"query": _nested("merge-update"), "data": _TWO}), "SELECT n_nationkey, CASE n_nationkey WHEN 1 THEN 'ONE' ELSE n_name END AS n_name, n_regionkey FROM nation WHERE n_regionkey <> 1 OR n_nationkey = 1")
+add_function("w8_delete_only", _after("nation", {"query": _nested("deleteonly", where=["<", dot("n_nationkey"), 15]), "data": _TWO}), "SELECT * FROM nation WHERE n_regionkey <> 1 OR n_nationkey = 1 OR n_nationkey >= 15")
+add_function("w11_readonly_child", _after("nation", {"query": _nested("readonly"), "data": _TWO}), "SELECT * FROM nation")
+add_function("w17_on_conflict", _after("region", {"query": {"relation": "region", "write_mode": "update-existing", "on_conflict": "region_name", "select": {"r_name": dot("r_name")}}, "data": [{"r_name": "ASIA"}, {"r_name": "NOWHERE"}]}), "SELECT * FROM region")
+add_function("w18_update_columns", _after("nation", {"query": {"relation": "nation", "write_mode": "upsert", "update_columns": ["n_name"], "select": _NATIONS}, "data": [{"n_nationkey": 3, "n_name": "THREE", "n_regionkey": 0}]}),
+             "SELECT n_nationkey, CASE n_nationkey WHEN 3 THEN 'THREE' ELSE n_name END AS n_name, n_regionkey FROM nation")
+add_function("w9_update_by_child", _after("customer", {"query": {"relation": "customer", "write_mode": "update", "join": {"o": ORDERS}, "where": [">=", ["agg", "count", [dot("o")]], 14], "select": {"c_custkey": dot("c_custkey"), "c_acctbal": dot("c_acctbal")}}, "data": {"c_acctbal": 0}}),
+             "SELECT c_custkey, c_name, c_nationkey, CASE WHEN (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) >= 14 THEN 0 ELSE c_acctbal END AS c_acctbal, c_mktsegment FROM customer")
+
+
+def _sequence(s: Session) -> DataFrame:
+    # a sequence is one transaction: its read sees its write
+    got = s.execute([{"query": {"relation": "region", "select": {"r_regionkey": dot("r_regionkey"), "r_name": dot("r_name")}}, "data": [{"r_regionkey": 8, "r_name": "EIGHT"}]}, {"query": {"relation": "region", "limit": 1}, "count": True, "returns": "none"}])
+    return s.spark.createDataFrame([(got[0][0]["r_name"], got[1]["count"], got[1]["offset"], got[1]["limit"])], "name string, n long, first long, most long")
+
+
+add_function("e1_sequence", _sequence, "SELECT 'EIGHT' AS name, (count(*) + 1)::BIGINT AS n, 0::BIGINT AS first, 1::BIGINT AS most FROM region")
 add_function("e8_rollback", _after("region", {"query": {"relation": "region", "write_mode": "delete", "where": True}, "rollback": True}), "SELECT * FROM region")
 add_function("w25_stats", lambda s: s.spark.createDataFrame([(".".join(x["path"]), x["table"], x["submitted"], x["inserted"], x["updated"], x["deleted"]) for x in s.execute({"query": _REGION, "data": _PAYLOAD, "stats": True, "returns": "none"})["stats"]], "path string, tbl string, submitted long, inserted long, updated long, deleted long"),
              "SELECT '' AS path, 'main.region' AS tbl, 3::BIGINT AS submitted, 1::BIGINT AS inserted, 2::BIGINT AS updated, 0::BIGINT AS deleted UNION ALL SELECT 'n', 'main.nation', 2, 1, 1, count(*) - 1 FROM nation WHERE n_regionkey = 1")

@@ -29,6 +29,9 @@ def catalog(sf_dir: str) -> Catalog:
         rel("labels", ("doc_id",), {"doc_id": ("documents", "doc_id")}),
         rel("embeddings", ("vec_id",)), rel("pages", ("page_id",)), rel("benchmark", ("item_id",)),
         rel("conversations", ("conv_id", "turn")),
+        Relation("big_orders", lambda spark: spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice >= 200000"), view=True,
+                 foreign_keys=(ForeignKey(("o_custkey",), "customer", ("c_custkey",)),)),
+        Relation("region", lambda spark: spark.read.parquet(f"{sf_dir}/region.parquet").where("r_regionkey < 2"), ("r_regionkey",), schema="few"),
     ]
     functions = [
         Function("orders_of", (Parameter("custkey", "bigint"), Parameter("least", "double", 0.0, True)),

@@ -51,3 +51,19 @@ def array_chunks(rows: Iterable[str], held: int = HELD_BYTES) -> Iterator[str]:
             buffer, size = [], 0
     buffer.append("]")
     yield "".join(buffer)
+
+
+def values(df: DataFrame, scalar: bool = False) -> Iterator[object]:
+    """Rows as Python values, for encodings that keep types."""
+    for r in df.toLocalIterator(prefetchPartitions=True):
+        yield r[0] if scalar else r.asDict(recursive=True)
+
+
+def cbor_chunks(rows: Iterable[object]) -> Iterator[bytes]:
+    """A CBOR array of open length, a row at a time."""
+    from ..sources.cbor import dumps
+
+    yield b"\x9f"
+    for r in rows:
+        yield dumps(r)
+    yield b"\xff"
