@@ -220,3 +220,13 @@ def test_cbor_stream(s):
 
     q = {"relation": "room", "order_by": [dot("id")], "limit": 1}
     assert cbor.loads(b"".join(cbor_chunks(values(s.frame(q))))) == [{"id": 1, "hotel_id": 1, "code": "A1", "tags": ["sea", "tv"], "price": Decimal("100.00")}]
+
+
+def test_where_driven_writes(s):
+    q = {"relation": "room", "where": ["<", dot("price"), 90], "select": {"id": dot("id"), "price": dot("price")}}
+    got = s.execute([{"query": {**q, "write_mode": "update"}, "data": {"price": "50.00"}}, {"query": {**q, "write_mode": "update"}, "data": {"price": 95}}])
+    assert sorted(r["id"] for r in got[0]) == [2, 4] and got[1] == []
+    gone = s.execute({"query": {"relation": "room", "write_mode": "delete", "where": ["is_null", dot("price")]}, "stats": True})
+    assert gone["result"] == [] and gone["stats"][0]["deleted"] == 1 and len(s.execute({"relation": "room"})) == 3
+    with pytest.raises(QueryError):
+        s.execute({"query": {"relation": "hotel", "write_mode": "delete", "where": True, "join": ROOM_JOIN}})
