@@ -92,3 +92,14 @@ def test_cbor_round_trip():
             cbor.loads(data[:n])
     assert cbor.loads(b"\x9f\x01\x7f\x61a\x61b\xff\xff") == [1, "ab"]
     assert cbor.loads(b"\xf9\x3c\x00") == 1.0
+
+
+def test_cbor_structures():
+    from trellis.streaming.rows import cbor_chunks
+
+    rows = [{"id": i, "kids": [{"id": j, "kids": []} for j in range(2)], "one": {"a": i}} for i in range(3)]
+    data = b"".join(cbor_chunks(rows, structures=True))
+    assert cbor.loads(data) == rows and data.count(b"kids") == 2 < b"".join(cbor_chunks(rows)).count(b"kids")
+    for bad in (b"\xd9\xe0\x00\x80", b"\xd9\xdf\xff\x83\x19\xe0\x00\x82aaaa\x01", b"\xd9\xdf\xff\x81\x19\xe0\x00"):
+        with pytest.raises(QueryError):
+            cbor.loads(bad)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from typing import TYPE_CHECKING
 
 from ..errors import QueryError, invalid, unknown
-from ..sources.catalog import Catalog, Function, Relation
+from ..sources.catalog import Function, Relation
 from .syntax import Expr, Request
 
 if TYPE_CHECKING:

@@ -1,6 +1,7 @@
 """CBOR bodies: values to bytes and back, for requests and responses in that form.
 
-Decimals are tag 4, instants tag 1, dates tag 100, UUIDs tag 37; undefined reads as null.
+Decimals are tag 4, instants tag 1, dates tag 100, UUIDs tag 37; undefined reads as null. Rows with
+the same names can be written as structures: names once, under a number, then values alone.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from typing import Any
 from ..errors import QueryError
 
 _EPOCH = dt.date(1970, 1, 1)
+#: Tags of structures: fixed values of the record form. The last id would read as the definition's.
+DEFINITION, STRUCTURE, MOST_STRUCTURES = 0xDFFF, 0xE000, 0x1FFF
 
 
 def _head(major: int, n: int) -> bytes:
@@ -23,7 +26,26 @@ def _head(major: int, n: int) -> bytes:
     raise ValueError(n)
 
 
-def dumps(v: Any) -> bytes:
+class Structures:
+    """Numbers given to lists of names, in order of first use."""
+
+    def __init__(self) -> None:
+        self.numbers: dict[tuple[str, ...], int] = {}
+
+    def row(self, v: dict) -> bytes:
+        names = tuple(v)
+        if (known := self.numbers.get(names)) is not None:
+            head = _head(6, STRUCTURE + known) + _head(4, len(names))
+        elif len(self.numbers) >= MOST_STRUCTURES:
+            return _head(5, len(v)) + b"".join(dumps(k) + dumps(x, self) for k, x in v.items())
+        else:
+            # numbered before its values are written, as these may refer to it
+            self.numbers[names] = number = len(self.numbers)
+            head = _head(6, DEFINITION) + _head(4, len(names) + 2) + dumps(STRUCTURE + number) + dumps(list(names))
+        return head + b"".join(dumps(x, self) for x in v.values())
+
+
+def dumps(v: Any, rows: Structures | None = None) -> bytes:
     if v is None or isinstance(v, bool):
         return {None: b"\xf6", True: b"\xf5", False: b"\xf4"}[v]
     if isinstance(v, int):
@@ -51,15 +73,16 @@ def dumps(v: Any) -> bytes:
     if isinstance(v, dt.date):
         return _head(6, 100) + dumps((v - _EPOCH).days)
     if isinstance(v, dict):
-        return _head(5, len(v)) + b"".join(dumps(k) + dumps(x) for k, x in v.items())
+        return rows.row(v) if rows else _head(5, len(v)) + b"".join(dumps(k) + dumps(x) for k, x in v.items())
     if isinstance(v, (list, tuple)):
-        return _head(4, len(v)) + b"".join(map(dumps, v))
+        return _head(4, len(v)) + b"".join(dumps(x, rows) for x in v)
     raise TypeError(type(v).__name__)
 
 
 class _Body:
     def __init__(self, data: bytes):
         self.data, self.at = data, 0
+        self.structures: dict[int, list[str]] = {}
 
     def take(self, n: int) -> bytes:
         if n > len(self.data) - self.at:
@@ -92,8 +115,31 @@ class _Body:
             return [self.value(depth + 1) for _ in range(self._few(n))]
         if major == 5:
             return {self._key(depth): self.value(depth + 1) for _ in range(self._few(n))}
+        if DEFINITION <= n < STRUCTURE + MOST_STRUCTURES:
+            return self._structure(n, self.value(depth + 1) if n != DEFINITION else None, depth)
         return self._tag(n, self.value(depth + 1))
 
+    def _structure(self, tag: int, values: Any, depth: int) -> dict:
+        bad = QueryError("QUERY_MALFORMED_CBOR", "a structure that does not hold together")
+        if tag == DEFINITION:
+            first = self.take(1)[0]
+            low = first & 31
+            if first >> 5 != 4 or low > 27:
+                raise bad
+            n = low if low < 24 else int.from_bytes(self.take(1 << low - 24), "big")
+            if n < 2:
+                raise bad
+            # names are known before the values, which may refer to them
+            tag, names = self.value(depth + 1), self.value(depth + 1)
+            if not isinstance(names, list) or not all(isinstance(k, str) for k in names) or len(set(names)) < len(names) or len(names) != n - 2 or not isinstance(tag, int):
+                raise bad
+            self.structures[tag] = names
+            values = [self.value(depth + 1) for _ in names]
+        names = self.structures.get(tag)
+        if names is None or not isinstance(values, list) or len(values) != len(names):
+            raise bad
+        return dict(zip(names, values, strict=True))
+
     def _few(self, n: int) -> int:
         if n > len(self.data) - self.at:
             raise QueryError("QUERY_MALFORMED_CBOR", "the body ends early")

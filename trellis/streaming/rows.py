@@ -59,11 +59,12 @@ def values(df: DataFrame, scalar: bool = False) -> Iterator[object]:
         yield r[0] if scalar else r.asDict(recursive=True)
 
 
-def cbor_chunks(rows: Iterable[object]) -> Iterator[bytes]:
-    """A CBOR array of open length, a row at a time."""
-    from ..sources.cbor import dumps
+def cbor_chunks(rows: Iterable[object], structures: bool = False) -> Iterator[bytes]:
+    """A CBOR array of open length, a row at a time; with ``structures`` names are written once."""
+    from ..sources.cbor import Structures, dumps
 
+    names = Structures() if structures else None
     yield b"\x9f"
     for r in rows:
-        yield dumps(r)
+        yield dumps(r, names)
     yield b"\xff"
