@@ -230,3 +230,20 @@ def test_where_driven_writes(s):
     assert gone["result"] == [] and gone["stats"][0]["deleted"] == 1 and len(s.execute({"relation": "room"})) == 3
     with pytest.raises(QueryError):
         s.execute({"query": {"relation": "hotel", "write_mode": "delete", "where": True, "join": ROOM_JOIN}})
+
+
+def test_enums_sort_as_declared(spark):
+    rows = [(1, "low"), (2, "high"), (3, None), (4, "middle")]
+    jobs = Relation("job", frame(rows, "id int, level string"), ("id",), fields={"level": Field(enum=("low", "middle", "high"))})
+    s = Session(spark, Catalog([jobs]))
+    assert s.execute({"relation": "job", "order_by": [["desc", dot("level")]], "select": dot("id")}) == [2, 4, 1, 3]
+    with pytest.raises(QueryError) as e:
+        s.execute({"query": {"relation": "job"}, "data": [{"id": 9, "level": "none"}]})
+    assert e.value.code == "PG_INVALID_TEXT_REPRESENTATION"
+
+
+@pytest.mark.parametrize(("select", "code"), [(["+", dot("tags"), 1], "QUERY_INVALID_EXPRESSION"), (["/", 1, ["-", dot("id"), dot("id")]], "TRANSACTION_ERROR")])
+def test_spark_errors_have_codes(s, select, code):
+    with pytest.raises(QueryError) as e:
+        s.execute({"relation": "room", "select": select})
+    assert e.value.code == code

@@ -215,7 +215,16 @@ class Reader:
     # per-key operations of a child
     def _terms(self, scope: Scope, order: list[Order]) -> list[tuple[Column, bool, bool]]:
         compiler = scope.compiler()
-        return [(compiler(o.expr), o.desc, o.nulls_first) for o in order]
+        return [(self._enum(scope, o.expr, compiler(o.expr)), o.desc, o.nulls_first) for o in order]
+
+    @staticmethod
+    def _enum(scope: Scope, e: Expr, c: Column) -> Column:
+        """Labels sort as they are declared."""
+        if e.op in ("col", ".") and e.args[0] in scope.node.columns and len(e.args) == 1:
+            labels = scope.relation_field(e.args[0]).enum
+            if labels:
+                return F.nullif(F.array_position(F.array(*map(F.lit, labels)), c), F.lit(0))
+        return c
 
     def _ties(self, scope: Scope) -> list[Column]:
         """Columns that fix the order of equals: the key, or all columns that can be ordered."""

@@ -12,6 +12,8 @@ from collections.abc import Iterator
 from decimal import Decimal
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -149,9 +151,13 @@ class Session:
         before, changed = dict(self.tables), set(self.changed)
         try:
             out = [self._run(i) for i in items]
-        except Exception:
+        except Exception as e:
             self.tables, self.changed = before, changed
             self._defined.clear()
+            if isinstance(e, AnalysisException):
+                raise QueryError("QUERY_INVALID_EXPRESSION", str(e).splitlines()[0]) from e
+            if isinstance(e, (PySparkException, Py4JJavaError)):  # streamed rows raise the latter
+                raise QueryError("TRANSACTION_ERROR", str(e).splitlines()[0]) from e
             raise
         return out if sequence and len(out) != 1 else out[0] if out else []
 
