@@ -56,11 +56,12 @@ def main() -> None:
     )
     spark.sparkContext.setLogLevel("ERROR")
 
+    s = Session(spark, catalog(sf_dir))  # as a server holds it
+
     def read(q):
-        Session(spark, catalog(sf_dir)).frame(q).write.format("noop").mode("overwrite").save()
+        s.frame(q).write.format("noop").mode("overwrite").save()
 
     def write(q):
-        s = Session(spark, catalog(sf_dir))
         s.execute({**q, "rollback": True})
 
     times: dict[str, float] = {}

@@ -129,6 +129,12 @@ def test_envelope(s):
     assert s.execute([{"relation": "chain", "select": dot("id")}]) == [1]
 
 
+def test_write_texts_and_plans(s):
+    q = {"query": {"relation": "chain", "write_mode": "upsert"}, "data": [{"id": 1, "name": "x"}, {"id": 2, "name": "y"}], "returns": "none", "rollback": True}
+    assert [list(x) for x in s.execute({**q, "sql": True})["sql"]] == [["path", "update"], ["path", "insert"]]
+    assert all("Scan" in x["plan"] or "Plan" in x["plan"] for x in s.execute({**q, "query_plan": True})["query_plan"]) and s.execute({"relation": "chain", "select": dot("id")}) == [1]
+
+
 def test_grants(spark):
     s = Session(spark, catalog(), grants={"count": False, "rollback": False})
     assert "count" not in s.execute({"query": {"relation": "chain"}, "count": True})

@@ -60,8 +60,9 @@ class Shape:
 
 
 class Writer:
-    def __init__(self, session, node: Node, data: Any, params: dict):
+    def __init__(self, session, node: Node, data: Any, params: dict, sql: bool = False, plan: bool = False):
         self.session, self.root, self.data, self.params = session, node, data, params
+        self.want_sql, self.want_plan = sql, plan
         self.stats: list[dict] = []
         self.texts: list[dict] = []
         self.plans: list[dict] = []
@@ -384,8 +385,10 @@ class Writer:
         from ..plans.session import logical_text, plan_text
 
         self.session.put(node.relation, df)
-        self.texts.append({"path": list(node.path), what: logical_text(df)})
-        self.plans.append({"path": list(node.path), "plan": plan_text(df)})
+        if self.want_sql:
+            self.texts.append({"path": list(node.path), what: logical_text(df)})
+        if self.want_plan:
+            self.plans.append({"path": list(node.path), "plan": plan_text(df)})
 
     # phase two
     def _deletes(self, node: Node, rows: list[Row], _parent) -> None:

@@ -171,7 +171,7 @@ class Session:
         reader = Reader(self, params)
         body: dict[str, Any] = {}
         if writes:
-            writer = Writer(self, node, item.data, params)
+            writer = Writer(self, node, item.data, params, item.sql and self.grants["sql"], item.query_plan and self.grants["query_plan"])
             rows = writer.run(item.returns != "none")
             if item.stats and self.grants["stats"]:
                 body["stats"] = writer.stats
