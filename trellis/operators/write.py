@@ -12,9 +12,11 @@ import datetime as dt
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import QueryError, invalid
 from ..plans.resolve import Node
@@ -238,7 +240,10 @@ class Writer:
     def _frame(self, node: Node, records: list[dict], columns: list[str], extra: dict[str, T.DataType] | None = None) -> DataFrame:
         kinds = self._kinds(node) | (extra or {})
         schema = T.StructType([T.StructField(c, kinds[c], True) for c in columns])
-        df = self.session.spark.createDataFrame([tuple(_spark(r.get(c), kinds[c]) for c in columns) for r in records], schema)
+        # an Arrow table becomes a relation local to the driver, whose size the planner knows
+        arrow = to_arrow_schema(schema)
+        data = pa.table([pa.array([_local(r.get(f.name)) for r in records], f.type) for f in arrow], schema=arrow)
+        df = self.session.spark.createDataFrame(data, schema=schema)
         return F.broadcast(df) if len(records) <= BROADCAST_ROWS else df
 
     def _existing(self, node: Node, rows: list[Row], identity: tuple[str, ...], columns: list[str]) -> dict[tuple, dict]:
@@ -517,9 +522,7 @@ def _plain(v: Any) -> Any:
     return bytes(v) if isinstance(v, bytearray) else v
 
 
-def _spark(v: Any, kind: T.DataType) -> Any:
+def _local(v: Any) -> Any:
     if isinstance(v, Parts):
-        v = v.whole()
-    if isinstance(kind, T.StructType) and isinstance(v, dict):
-        return tuple(_spark(v.get(f.name), f.dataType) for f in kind)
-    return v
+        return v.whole()
+    return bytes(v) if isinstance(v, bytearray) else v
