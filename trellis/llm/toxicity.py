@@ -32,7 +32,7 @@ WORDS = re.compile(r"[^\W_]+")
 PREFIXES, SUFFIXES = (3, 4, 5), (3, 4)
 WINDOW, OVERLAP = 4096, 64
 #: Bounds of the classifier's sample: labelled rows of each label, and the longest text among them.
-SAMPLE_ROWS, SAMPLE_CHARS = 2000, 20_000
+SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
 SPAN = 0.5
 
 
@@ -85,7 +85,7 @@ class Crf:
         return np.array(out, float)
 
     def _emission(self, word: str) -> float:
-        if len(self.known) > 500_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         get = self.weights.get
         e = self.known[word] = self.constant + sum(get(f, 0.0) for f in features(word))
@@ -118,15 +118,13 @@ def derive_token_features(bags: list[list[str]], toxic: list[int], ratio: float
     """Features whose tokens count as toxic in documents labelled so."""
     n = Counter(toxic)
     seen = (Counter(), Counter())
-    of_word = {w: features(w) for w in set().union(*bags)}
-    own = [{f for w in set(words) for f in of_word[w]} for words in bags]
-    for fs, y in zip(own, toxic, strict=True):
-        seen[y].update(fs)
+    for words, y in zip(bags, toxic, strict=True):
+        seen[y].update({f for w in set(words) for f in features(w)})
     evidence = {f: e for f, a in seen[1].items() if a >= least and (e := math.log((a + 0.1) / (n[1] + 0.2)) - math.log((seen[0][f] + 0.1) / (n[0] + 0.2))) >= ratio}
     holders: dict[str, set[int]] = {f: set() for f in evidence}
-    for i, (fs, y) in enumerate(zip(own, toxic, strict=True)):
+    for i, (words, y) in enumerate(zip(bags, toxic, strict=True)):
         if y:
-            for f in fs & holders.keys():
+            for f in {f for w in set(words) for f in features(w)} & holders.keys():
                 holders[f].add(i)
     kept: set[str] = set()
     open_ = {i for i, y in enumerate(toxic) if y}
