@@ -18,15 +18,17 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct(), "edges")
     state = None
+    # a second key, which the grouping does not have: the joins shuffle either side, and AQE may split a hub
+    fold = lambda c: F.xxhash64(c).alias("fold")
     while True:
         # large star: of each node's neighbours, those above it go to its least neighbour (itself included)
         both = now.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(now.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.lit(0).alias("one"))
-        large = both.withColumn("one", F.lit(0)).where("v > u").join(least, ["u", "one"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"), fold("u"))
+        large = both.where("v > u").select("*", fold("u")).join(least, ["u", "fold"]).select(F.col("v").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").distinct()
         large = materialize(large, "large-star")
         # small star: a node and its smaller neighbours go to the least of them
-        least = large.groupBy("hi").agg(F.min("lo").alias("m"), F.lit(0).alias("one"))
-        joined = large.withColumn("one", F.lit(0)).join(least, ["hi", "one"])
+        least = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        joined = large.select("*", fold("hi")).join(least.select("*", fold("hi")), ["hi", "fold"])
         small = joined.select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo").union(least.select("hi", F.col("m").alias("lo"))).distinct()
         now = materialize(small, "small-star")
         new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.hash("hi", "lo").cast("long")), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first())
