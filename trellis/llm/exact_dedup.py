@@ -64,15 +64,13 @@ def exact_duplicates(documents: DataFrame, keep: str = "min", normalise=None,
     sorted_rows = keyed.repartitionByRange("lead", "sha", "doc_id").sortWithinPartitions("lead", "sha", "text", "doc_id")
     rows = materialize(sorted_rows.select("doc_id", "text", "sha").mapInArrow(_runs, f"doc_id {dict(keyed.dtypes)['doc_id']}, sha string, number int"), "runs")
     pick = F.min if keep == "min" else F.max
-    # by digest alone, joined on both columns: the join then shuffles either side anew, and AQE may split a hot group
-    groups = rows.groupBy("sha").agg(F.count(F.lit(1)).alias("all"), F.max("number").alias("most"), pick("doc_id").alias("keep_id"))
-    if groups.where("most > 0").isEmpty():
-        groups = groups.select("sha", F.lit(0).alias("number"), "keep_id", F.col("all").alias("group_size"))
-    else:
-        groups = rows.groupBy("sha", "number").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    groups = rows.groupBy("sha", "number").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    # a second key, which the grouping does not have: either side is shuffled for the join itself, so that
+    # AQE may split a hot group
+    fold = F.xxhash64("text_sha256").alias("fold")
     many = groups.where("group_size > 1").select(F.col("sha").alias("text_sha256"), "number", F.col("keep_id").alias("first_id"), "group_size")
     keep_id = F.coalesce(F.col("first_id"), F.col("doc_id"))
-    return rows.withColumnRenamed("sha", "text_sha256").join(many, ["text_sha256", "number"], "left").select(
+    return rows.withColumnRenamed("sha", "text_sha256").select("*", fold).join(many.select("*", fold), ["text_sha256", "number", "fold"], "left").select(
         "doc_id", keep_id.alias("keep_id"), F.coalesce(F.col("group_size"), F.lit(1)).alias("group_size"),
         F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256",
     )
