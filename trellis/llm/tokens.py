@@ -1,8 +1,8 @@
 """Token ids by the tokenizers library, remembered by word.
 
 The word-level BPE of the vocabulary never joins across white space, so a text's ids are those of
-its space-separated strings in order. Texts of Latin letters and ASCII (nearly all) are looked up
-string by string, and only strings not seen before reach the library; any other text, and any that
+its space-separated strings in order. Lower-case strings of ASCII and Latin letters (nearly all) are remembered,
+and only pieces not seen before reach the library's model; a text with any other string, or one that
 could hold a special token, goes to the library whole. The ids are the library's in either case.
 """
 
@@ -13,11 +13,22 @@ from array import array
 
 import numpy as np
 
-#: Characters for which normalisation and splitting act on each space-separated string alone.
-_OTHER = re.compile("[^\t\n\v\f\r -~¡-¬®-ɏ]|<\\|")
+#: Characters on which normalisation and splitting act alone, so that strings of them can be remembered.
+_SAFE = re.compile("[!-~¡-¬®-ɏ]*")
+#: The vocabulary's pieces, for strings of these characters.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_SIMPLE = re.compile("[!-~]*")
-MOST = 600_000  # remembered strings; then the memory is begun anew
+#: Python splits at these, the library does not.
+_SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: Strings remembered and entries held; then the memory is begun anew.
+MOST, MOST_ENTRIES = 500_000, 2_000_000
+OTHER = -1
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, others for letters from 256 on."""
+    own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
 class WordTokenizer:
@@ -25,63 +36,81 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.model = self.library.model
+        self.letters = _byte_letters()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {"": 0}
-        self.pieces: dict[str, tuple[int, ...]] = {}
-        self.flat, self.start = array("I"), array("q", [0, 0])
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        if (got := self.pieces.get(piece)) is None:
-            if piece.isascii():  # the byte-level alphabet leaves printable ASCII as it is
-                got = tuple(t.id for t in self.library.model.tokenize(piece))
-            else:
-                got = tuple(self.library.encode(piece, add_special_tokens=False).ids)
-            self.pieces[piece] = got
+        self.known: dict[str, int] = {}
+        self.met = bytearray(1 << 21)  # a bit for the hash of a string met once
+        self.flat, self.start = array("I"), array("q", [0])
+
+    def _entry(self, text: str) -> int:
+        """Closes an entry of ids; its string is remembered when it is met again."""
+        self.start.append(len(self.flat))
+        number = len(self.start) - 2
+        h = hash(text) & 0xFFFFFF
+        if self.met[h >> 3] >> (h & 7) & 1:
+            self.known[text] = number
+        else:
+            self.met[h >> 3] |= 1 << (h & 7)
+        return number
+
+    def _piece(self, piece: str) -> int:
+        got = self.known.get(piece)
+        if got is None:
+            spelled = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            self.flat.extend([t.id for t in self.model.tokenize(spelled)])
+            got = self._entry(piece)
         return got
 
     def _learn(self, word: str) -> int:
-        if _SIMPLE.fullmatch(word):
-            for piece in _PIECE.findall(word.lower()):
-                self.flat.extend(self._piece(piece))
+        if not _SAFE.fullmatch(word):
+            self.known[word] = OTHER
+            return OTHER
+        if word.isalpha():
+            return self._piece(word)
+        if word[-1] in ".,;:!?" and word[:-1].isalpha():
+            pieces = [word[:-1], word[-1]]
         else:
-            # letters outside ASCII: case and composition are the library's
-            normal = self.library.normalizer.normalize_str(word)
-            for piece in _PIECE.findall(normal):
-                if piece.isascii() or piece.isalpha():
-                    self.flat.extend(self._piece(piece))
-                else:
-                    del self.flat[self.start[-1]:]
-                    self.flat.extend(self.library.encode(word, add_special_tokens=False).ids)
-                    break
-        self.start.append(len(self.flat))
-        self.known[word] = number = len(self.start) - 2
-        return number
+            pieces = _PIECE.findall(word)
+        if all(p.isascii() or p.isalpha() for p in pieces):
+            if len(pieces) == 1:
+                return self._piece(pieces[0])
+            for n in [self._piece(p) for p in pieces]:
+                self.flat.extend(self.flat[self.start[n]: self.start[n + 1]])
+        else:
+            self.flat.extend(self.library.encode(word, add_special_tokens=False).ids)
+        return self._entry(word)
 
     def ids(self, text: str) -> np.ndarray:
         """The text's ids, without special tokens, as unsigned 32-bit integers."""
-        if _OTHER.search(text):
-            return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
-        words = text.split()
-        if len(self.known) > MOST:
+        if "<|" in text or any(s in text for s in _SEPARATORS):
+            return self._whole(text)
+        words = text.lower().split()
+        if not words:
+            return np.zeros(0, np.uint32)
+        if len(self.known) > MOST or len(self.start) > MOST_ENTRIES:
             self._forget()
-        get = self.known.get
-        numbers = [get(w) for w in words]
+        known = self.known
+        numbers = list(map(known.get, words))
         if None in numbers:
             for i, n in enumerate(numbers):
                 if n is None:
-                    numbers[i] = self.known.get(words[i]) or self._learn(words[i])
-        if not numbers:
-            return np.zeros(0, np.uint32)
+                    n = known.get(words[i])
+                    numbers[i] = self._learn(words[i]) if n is None else n
         at = np.array(numbers)
+        if at.min() == OTHER:
+            return self._whole(text)
         start = np.frombuffer(self.start, np.int64)
-        lengths = start[at + 1] - start[at]
+        begin = start[at]
+        lengths = start[at + 1] - begin
         ends = np.cumsum(lengths)
-        index = np.arange(ends[-1]) + np.repeat(start[at] - (ends - lengths), lengths)
-        out = np.frombuffer(self.flat, np.uint32)[index]
-        del start
-        return out
+        index = np.arange(ends[-1]) + np.repeat(begin - (ends - lengths), lengths)
+        return np.frombuffer(self.flat, np.uint32)[index]
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 _made: dict[str, WordTokenizer] = {}
