@@ -3,10 +3,10 @@
 Documents become pieces of at most ``length`` tokens; only longer documents are cut. Pieces are dealt
 to partitions of bounded size and packed there by best fit decreasing (the fullest sequence that
 takes a piece, longest pieces first). Dual feasible functions give each partition a lower bound on
-the sequences that any packing of its pieces needs; one that meets its bound is certified and final.
-A partition with a gap keeps its full sequences and gives up the pieces of the least full ones, enough
-for the gap; several partitions' pieces are put together and packed again, until no gap is left or
-all that was given up meets in one partition.
+the sequences that any packing of its pieces needs. A partition gives up the pieces of its least full
+sequences, which hold half of its free room, and all but the full ones while there is a gap to its
+bound; one that meets its bound with no room left over is certified and final. Several partitions' pieces
+are put together and packed again, until nothing is given up or all of it meets in one partition.
 """
 
 from __future__ import annotations
@@ -118,11 +118,12 @@ def _pack(capacity: int, last: bool):
         fill = np.bincount(bins, weights=lengths).astype(np.int64)
         gap = len(fill) - lower_bound(lengths, capacity)
         open_bins = np.zeros(len(fill), bool)
-        if gap > 0 and not last:
-            # the least full sequences, with as much room as the gap and a few more to rearrange
+        if not last:
+            # even a certified partition has a remainder that may fit another's
             order = np.argsort(fill, kind="stable")
             room = np.cumsum(capacity - fill[order])
-            open_bins[order[: max(8 * gap, int(np.searchsorted(room, gap * capacity)) + 1)]] = True
+            given = order if gap > 0 else order[: int(np.searchsorted(room, room[-1] / 2)) + 1]
+            open_bins[given[fill[given] < capacity]] = True
         start = np.zeros(len(group), np.int64)
         by_bin = np.argsort(bins, kind="stable")
         ends = np.cumsum(lengths[by_bin])
