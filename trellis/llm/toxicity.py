@@ -223,7 +223,7 @@ def spans_of(text: str, p: np.ndarray, least: float = SPAN) -> list[dict[str, in
 _KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def score(documents: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), most_chars: int = 16_000_000) -> DataFrame:
+def score(documents: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), most_chars: int = 6_000_000) -> DataFrame:
     """One row per row of ``documents``: the ``carry`` columns, doc_id, score, spans (start, end).
 
     Null and empty texts, and texts without words, score 0 and have no spans. Nothing but the text is
