@@ -8,27 +8,27 @@ from .catalog import Catalog, Computed, Field, ForeignKey, Function, Parameter,
 
 
 def catalog(sf_dir: str) -> Catalog:
-    def rel(name: str, key: tuple[str, ...] = (), refs: dict[str, tuple[str, str]] | None = None, **more) -> Relation:
+    def declared(name: str, key: tuple[str, ...] = (), refs: dict[str, tuple[str, str]] | None = None, **more) -> Relation:
         keys = tuple(ForeignKey((c,), t, (tc,)) for c, (t, tc) in (refs or {}).items())
         return Relation(name, parquet(f"{sf_dir}/{name}.parquet"), key, foreign_keys=keys, **more)
 
     relations = [
-        rel("region", ("r_regionkey",), unique={"region_name": ("r_name",)}),
-        rel("nation", ("n_nationkey",), {"n_regionkey": ("region", "r_regionkey")}, unique={"nation_name": ("n_name",)}),
-        rel("customer", ("c_custkey",), {"c_nationkey": ("nation", "n_nationkey")}, computed={
+        declared("region", ("r_regionkey",), unique={"region_name": ("r_name",)}),
+        declared("nation", ("n_nationkey",), {"n_regionkey": ("region", "r_regionkey")}, unique={"nation_name": ("n_name",)}),
+        declared("customer", ("c_custkey",), {"c_nationkey": ("nation", "n_nationkey")}, computed={
             "c_label": Computed(lambda c: F.concat(c["c_name"], F.lit(" ("), c["c_mktsegment"], F.lit(")"))),
             "c_orders": Computed(relation="orders", on=(("o_custkey", "c_custkey"),)),
         }),
-        rel("supplier", ("s_suppkey",), {"s_nationkey": ("nation", "n_nationkey")}),
-        rel("part", ("p_partkey",)),
-        rel("orders", ("o_orderkey",), {"o_custkey": ("customer", "c_custkey")}, computed={
+        declared("supplier", ("s_suppkey",), {"s_nationkey": ("nation", "n_nationkey")}),
+        declared("part", ("p_partkey",)),
+        declared("orders", ("o_orderkey",), {"o_custkey": ("customer", "c_custkey")}, computed={
             "o_large": Computed(lambda c: c["o_totalprice"] >= 300000)}),
-        rel("lineitem", (), {"l_orderkey": ("orders", "o_orderkey"), "l_partkey": ("part", "p_partkey"), "l_suppkey": ("supplier", "s_suppkey")}),
-        rel("events", ("event_id",), {"user_id": ("customer", "c_custkey")}, fields={"props": Field(json=True)}),
-        rel("documents", ("doc_id",)),
-        rel("labels", ("doc_id",), {"doc_id": ("documents", "doc_id")}),
-        rel("embeddings", ("vec_id",)), rel("pages", ("page_id",)), rel("benchmark", ("item_id",)),
-        rel("conversations", ("conv_id", "turn")),
+        declared("lineitem", (), {"l_orderkey": ("orders", "o_orderkey"), "l_partkey": ("part", "p_partkey"), "l_suppkey": ("supplier", "s_suppkey")}),
+        declared("events", ("event_id",), {"user_id": ("customer", "c_custkey")}, fields={"props": Field(json=True)}),
+        declared("documents", ("doc_id",)),
+        declared("labels", ("doc_id",), {"doc_id": ("documents", "doc_id")}),
+        declared("embeddings", ("vec_id",)), declared("pages", ("page_id",)), declared("benchmark", ("item_id",)),
+        declared("conversations", ("conv_id", "turn")),
         Relation("big_orders", lambda spark: spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice >= 200000"), view=True,
                  foreign_keys=(ForeignKey(("o_custkey",), "customer", ("c_custkey",)),)),
         Relation("region", lambda spark: spark.read.parquet(f"{sf_dir}/region.parquet").where("r_regionkey < 2"), ("r_regionkey",), schema="few"),
