@@ -146,6 +146,17 @@ def test_near_family_is_one_component(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == want
 
 
+def test_pairs_under_a_shared_template(spark):
+    """Most words are everybody's: one huge region, with pairs inside that leaves and hubs part."""
+    template, texts = [f"t{i}" for i in range(258)], {}
+    for pair in range(350):
+        for side in range(2):
+            texts[2 * pair + side] = " ".join(template + [f"o{pair}_{i}" for i in range(20)] + [f"x{pair}_{side}_{i}" for i in range(22)])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = near_dedup.near_duplicates(df, 1, 85).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == _kept_by_brute_force(texts, 1, 85)
+
+
 def test_sha_of_texts(spark, con):
     rows = queries.op8_exact_dedup(spark, SF).collect()
     texts = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())

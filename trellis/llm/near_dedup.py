@@ -7,15 +7,19 @@
    Classes with a common prefix of ``depth`` values stand next to each other; that run is a region. In a
    region of up to ``leaf`` classes each is a candidate for each. A larger region is cut at the
    shortest common prefixes of neighbours, which is the same as going deeper there and only there, until
-   its parts are leaves; and since a deeper prefix may part a pair, the region also elects hubs, the
-   classes most similar on average to a spread of its members, and every member is a candidate for each
-   of them. So a region of n classes gives O(n) candidates at any size. Regions may run over several
-   partitions; each part elects its own hubs.
+   its parts are leaves; and the region also elects hubs, the classes most similar on average to a
+   spread of its members, and every member is a candidate for each of them. So a region of n classes
+   gives O(n) candidates at any size. Regions may run over several partitions; each part elects its own
+   hubs. What is cut like this, at leaves, parts or partitions, may part a pair: its classes are noted as
+   open, for step 4.
 3. Candidates that the signatures cannot rule out are confirmed on full shingle sets in two rounds:
    first every class with the candidates most alike, then all candidates that the links found do not
    connect already. The second round can only add links between components, so no confirmation is lost
    by the order.
-4. Links become components by alternating stars.
+4. Open classes meet by an exact prefix join on their full sets: in one order of all shingles, rare ones
+   first, two sets that link share a shingle among the first of each, at positions that leave room for
+   the overlap. Pairs inside a component are left out, so a family that the hubs joined costs nothing.
+5. Links become components by alternating stars.
 """
 
 from __future__ import annotations
@@ -29,9 +33,11 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, materialize
 from .components import components
-from .shingles import fingerprint, shingle_sets
+from .shingles import fingerprint, mix64, shingle_sets
 
 POSITIONS, TREES, DEPTH, LEAF, HUBS, SPREAD = 96, 16, 4, 16, 4, 32
+SKETCH = 1 << 18  # counters that tell rare shingles from common ones
+OPEN = 2.0  # est of the pairs (a, a) that note open classes
 _rng = np.random.default_rng(7)
 _MULT = (_rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint64).astype(np.uint32)
@@ -110,7 +116,8 @@ def _leaves(order: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _candidates(least: float):
-    """Candidate pairs (a, b, est) of sorted (tree, region, order) rows; est is at least ``least``."""
+    """Candidate pairs (a, b, est) of sorted (tree, region, order) rows; est is at least ``least``, and
+    OPEN in a pair (a, a) for every class of a region not compared in full here."""
     def pairs_of(reps: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n = len(reps)
         if n > LEAF:
@@ -131,13 +138,19 @@ def _candidates(least: float):
             yield reps[a + i[at]], reps[a + j[at]], est[at]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def emit(reps, orders):
+        def emit(reps, orders, cut):
+            if cut or len(reps) > LEAF:
+                own = pa.array(np.unique(reps), pa.int64())
+                yield pa.RecordBatch.from_arrays([own, own, pa.array(np.full(len(own), OPEN))], ["a", "b", "est"])
+            if len(reps) < 2:
+                return
             order = np.frombuffer(b"".join(orders), np.uint8).reshape(len(orders), POSITIONS)
             for a, b, est in pairs_of(np.array(reps), order):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(est)], ["a", "b", "est"])
 
-        last, reps, orders = None, [], []
+        # the first and the last region may go on in other partitions
+        last, reps, orders, cut_off = None, [], [], True
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -149,20 +162,21 @@ def _candidates(least: float):
             for a, b in zip(edges, edges[1:], strict=False):
                 key = (tree[a], region[a])
                 if key != last:
-                    if len(reps) > 1:
-                        yield from emit(reps, orders)
+                    if len(reps) > 1 or (reps and cut_off):
+                        yield from emit(reps, orders, cut_off)
+                    cut_off = last is None
                     last, reps, orders = key, [], []
                 # a region longer than this is worked off in parts, as one that runs over partitions
                 if len(reps) >= 20_000:
-                    yield from emit(reps, orders)
-                    reps, orders = [], []
+                    yield from emit(reps, orders, True)
+                    reps, orders, cut_off = [], [], True
                 reps += rep[a:b].tolist()
                 if b - a > 1 or len(reps) > 1 or b == n:
                     orders += order.slice(a, b - a).to_pylist()
                 else:
                     orders += [order[a].as_py()]
-        if len(reps) > 1:
-            yield from emit(reps, orders)
+        if reps:
+            yield from emit(reps, orders, True)
     return run
 
 
@@ -205,6 +219,80 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (mix64(h) % np.uint64(SKETCH)).astype(np.int64)
+
+
+def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets have a shingle of each slot of the sketch."""
+    total = np.zeros(SKETCH, np.int64)
+    for batch in batches:
+        for x in batch.column("set"):
+            np.add.at(total, _slot(np.frombuffer(x.as_buffer(), np.uint64)), 1)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
+
+
+def _prefixes(sketch, percent: int):
+    """(g, rep, component, n, pos) for the first shingles of every set, as many as a link needs to meet."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = np.frombuffer(sketch.value, np.int64)
+
+        def post(rows: list[tuple]) -> pa.RecordBatch:
+            size = [len(r[0]) for r in rows]
+            whole = [pa.array(np.repeat(np.array([r[i] for r in rows], np.int64), size)) for i in (1, 2, 3)]
+            pos = np.concatenate([np.arange(m) for m in size])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([r[0] for r in rows]).view(np.int64)), *whole, pa.array(pos)], ["g", "rep", "component", "n", "pos"])
+
+        for batch in batches:
+            rows, held = [], 0
+            for x, rep, component in zip(batch.column("set"), batch.column("rep").to_pylist(), batch.column("component").to_pylist(), strict=True):
+                h = np.frombuffer(x.as_buffer(), np.uint64)
+                n = len(h)
+                rows.append((h[np.lexsort([h, often[_slot(h)]])[: n - -(-n * percent // 100) + 1]], rep, component, n))
+                held += len(rows[-1][0])
+                if held > 1 << 18:
+                    yield post(rows)
+                    rows, held = [], 0
+            if rows:
+                yield post(rows)
+    return run
+
+
+def _met(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows (rep, component, set) in different components, among them all that link.
+
+    A pair that links has at least percent * (n_a + n_b) / (100 + percent) shingles in common, none of
+    which comes before its first common one: neither set may have fewer from there on. For the smaller
+    set that means a shorter prefix than for the larger. Of a shingle's sets those in its most frequent
+    component meet only the others.
+    """
+    spark = sets.sparkSession
+    counted = np.zeros(SKETCH, np.int64)
+    tally = sets.select("set").mapInArrow(_tally, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counted[tally["slot"].to_numpy()] = tally["n"].to_numpy()
+    sketch = spark.sparkContext.broadcast(counted.tobytes())
+    posted = materialize(sets.select("rep", "component", "set").mapInArrow(_prefixes(sketch, percent), "g long, rep long, component long, n long, pos long"), "prefixes")
+    main = (
+        posted.groupBy("g", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("g")
+        .agg(F.count(F.lit(1)).alias("components"), F.max(F.struct("m", "component")).alias("main")).where("components > 1").select("g", F.col("main.component").alias("main"))
+    )
+    # a second key, which the grouping does not have, lets AQE split a common shingle
+    fold = F.xxhash64("g").alias("fold")
+    lists = materialize(posted.select("*", fold).join(main.select("*", fold), ["g", "fold"]).select("g", "rep", "component", "n", "pos", (F.col("component") == F.col("main")).alias("main")), "lists")
+    room = F.col("n") - F.col("pos")
+    small = lists.where(room * (100 + percent) >= 2 * percent * F.col("n")).alias("x")
+    large = lists.alias("y")
+    need = percent * (F.col("x.n") + F.col("y.n"))
+    fits = (
+        (F.col("x.g") == F.col("y.g")) & (F.col("x.component") != F.col("y.component")) & (F.col("x.n") <= F.col("y.n"))
+        & ((F.col("x.n") - F.col("x.pos")) * (100 + percent) >= need) & ((F.col("y.n") - F.col("y.pos")) * (100 + percent) >= need)
+    )
+    some = small.where(~F.col("main")).join(large, fits).select("x.rep", F.col("y.rep").alias("other"))
+    most = small.where("main").join(large.where(~F.col("main")), fits).select("x.rep", F.col("y.rep").alias("other"))
+    return some.union(most).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+
+
 def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -223,9 +311,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, d
     est_least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / POSITIONS) ** 0.5
     entered = classes.select("rep", "sig").mapInArrow(_enter, "tree int, region long, rep long, order binary")
     forest = entered.repartitionByRange("tree", "region", "order").sortWithinPartitions("tree", "region", "order", "rep")
-    pairs = materialize(forest.mapInArrow(_candidates(est_least), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est")), "candidates")
+    found = materialize(forest.mapInArrow(_candidates(est_least), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est")), "candidates")
+    pairs, opened = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("rep"))
 
-    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    needed = found.select(F.col("a").alias("rep")).union(found.select(F.col("b").alias("rep"))).distinct()
     needed = materialize(needed, "needed")
     of = docs.join(broadcast_if(needed.withColumnRenamed("rep", "doc_id"), needed.count(), 16), "doc_id", "left_semi")
     sets = materialize(of.mapInArrow(_set_maker(shingle), "rep long, set binary"), "sets")
@@ -234,8 +323,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, d
     best = both.groupBy("x").agg(F.max(F.struct("est", "y")).alias("best"))
     first = best.select(F.least("x", "best.y").alias("a"), F.greatest("x", "best.y").alias("b")).distinct()
     links = materialize(_links(first, sets, percent), "links-1")
-    found = components(links)
-    label = materialize(found, "labels-1")
+    label = materialize(components(links), "labels-1")
     rest = (
         pairs.join(label.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
         .join(label.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
@@ -243,6 +331,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, d
         .join(first, ["a", "b"], "left_anti")
     )
     links = links.union(materialize(_links(rest, sets, percent), "links-2"))
+    label = materialize(components(links).select(F.col("node").alias("rep"), "component"), "labels-2")
+    opened = opened.join(label, "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    met = materialize(_met(sets.join(opened, "rep"), percent), "met")
+    links = links.union(materialize(_links(met, sets, percent), "links-3"))
     label = materialize(components(links).select(F.col("node").alias("rep"), "component"), "labels")
     of_class = classes.select("fp", "rep", "members").join(label, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     of_class = materialize(of_class, "classes-labelled")
