@@ -253,3 +253,11 @@ def test_spark_errors_have_codes(s, select, code):
     with pytest.raises(QueryError) as e:
         s.execute({"relation": "room", "select": select})
     assert e.value.code == code
+
+
+def test_casts_and_dates_cover_all_orders(spark):
+    """sf0.1 has more orders than the smaller folders."""
+    from trellis import queries
+
+    folder = "/root/testdata/sf0.1"
+    assert queries.QUERIES["e4_casts_and_dates"](spark, folder).count() == spark.read.parquet(f"{folder}/orders.parquet").count() == 150_000

@@ -151,7 +151,7 @@ add("e2_text", {"relation": "customer", "select": {"k": dot("c_custkey"), "cat":
     "SELECT c_custkey AS k, c_name || '/' || c_mktsegment AS cat, concat_ws('-', c_name, c_mktsegment) AS ws, c_custkey || ' in ' || c_mktsegment || ' (' || c_mktsegment || ')' AS fmt, lower(c_mktsegment) AS up, split_part(c_name, '#', 2) AS part, substring(c_name, 1, 4) AS sub, lpad(c_nationkey::VARCHAR, 4, '0') AS pad, c_mktsegment AS some, c_name AS first FROM customer")
 add("e3_arrays", {"relation": "embeddings", "select": {"k": dot("vec_id"), "first": ["index", dot("embedding"), 1], "none": ["index", dot("embedding"), 99], "zero": ["index", dot("embedding"), 0], "n": ["call", "cardinality", ["slice", dot("embedding"), 3, 5]], "third": ["index", ["slice", dot("embedding"), 3, 5], 1], "empty": ["call", "cardinality", ["slice", dot("embedding"), 5, 3]]}},
     "SELECT vec_id AS k, embedding[1] AS first, NULL::FLOAT AS none, NULL::FLOAT AS zero, 3 AS n, embedding[3] AS third, 0 AS empty FROM embeddings")
-add("e4_casts_and_dates", {"relation": "orders", "select": {"k": dot("o_orderkey"), "d": ["::", ["::", dot("o_orderdate"), "date"], "text"], "y": ["::", ["call", "date_part", "year", dot("o_orderdate")], "int"], "m": ["call", "date_trunc", "month", dot("o_orderdate")], "i": ["::", ["call", "floor", dot("o_totalprice")], "int8"], "t": ["::", dot("o_orderkey"), "text"], "big": ["+", dot("o_orderkey"), ["bigint", "10000000000"]]}, "limit": 100000},
+add("e4_casts_and_dates", {"relation": "orders", "select": {"k": dot("o_orderkey"), "d": ["::", ["::", dot("o_orderdate"), "date"], "text"], "y": ["::", ["call", "date_part", "year", dot("o_orderdate")], "int"], "m": ["call", "date_trunc", "month", dot("o_orderdate")], "i": ["::", ["call", "floor", dot("o_totalprice")], "int8"], "t": ["::", dot("o_orderkey"), "text"], "big": ["+", dot("o_orderkey"), ["bigint", "10000000000"]]}},
     "SELECT o_orderkey AS k, o_orderdate::DATE::VARCHAR AS d, year(o_orderdate)::INT AS y, date_trunc('month', o_orderdate)::TIMESTAMP AS m, floor(o_totalprice)::BIGINT AS i, o_orderkey::VARCHAR AS t, o_orderkey + 10000000000 AS big FROM orders")
 add("e5_function_in_expression", {"relation": "part", "select": {"k": dot("p_partkey"), "tax": ["call", "round", ["call", "with_tax", dot("p_retailprice")], 3], "g": ["call", "greatest", dot("p_size"), 25], "n": ["call", "nullif", dot("p_size"), 1]}},
     "SELECT p_partkey AS k, round(p_retailprice * 1.2::DOUBLE, 3) AS tax, greatest(p_size, 25) AS g, nullif(p_size, 1) AS n FROM part")
