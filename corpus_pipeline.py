@@ -17,10 +17,16 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TOXIC = 0.3
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of a table of ids: sent whole where its count proves it small, else a join."""
-    ids = materialize(ids.select("doc_id"), "kept")
-    return docs.join(broadcast_if(ids, ids.count(), 16), "doc_id", "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of each row, ``row``, in order of ids, null last. Ids may be null or repeat."""
+    order = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return materialize(order.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The documents of a table of row numbers (as doc_id): sent whole where its count proves it small, else a join."""
+    rows = materialize(rows.select(F.col("doc_id").alias("row")), "kept")
+    return docs.join(broadcast_if(rows, rows.count(), 16), "row", "left_semi").select(*COLUMNS)
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,20 +36,25 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
-    return _only(docs, exact_dedup.exact_duplicates(docs).where("kept"))
+    """Of equal texts one row stays, of the smallest id; a null id only where no other has the text."""
+    docs = _numbered(docs)
+    return _only(docs, exact_dedup.exact_duplicates(docs, doc_id="row").where("kept"))
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that near-duplicate links connect (five words, similarity 0.8) the smallest id stays."""
-    return _only(docs, near_dedup.near_duplicates(docs, shingle=5, percent=80).where("kept"))
+    """Of documents that near-duplicate links connect (five words, similarity 0.8) one row stays,
+    of the smallest id; a null id only where the links reach no other."""
+    docs = _numbered(docs)
+    return _only(docs, near_dedup.near_duplicates(docs, shingle=5, percent=80, doc_id="row").where("kept"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it. Documents without words take no words from the mix and stay once."""
-    mixed = mixing.mix(docs)
-    passes = materialize(mixed.select("doc_id", F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int")).alias("passes")).where("passes > 0"), "passes")
-    often = docs.join(broadcast_if(passes, passes.count(), 24), "doc_id")
+    """Each document as often as the mix takes it. Documents without words take no words from the mix and stay once.
+    Rows that share an id, or have none, are documents of their own."""
+    docs = materialize(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "numbered")
+    mixed = mixing.mix(docs, carry=("row",))
+    passes = materialize(mixed.select("row", F.when(F.col("size") == 0, 1).otherwise((F.col("taken") / F.col("size")).cast("int")).alias("passes")).where("passes > 0"), "passes")
+    often = docs.join(broadcast_if(passes, passes.count(), 24), "row")
     return often.withColumn("pass", F.explode(F.sequence(F.lit(1), F.col("passes")))).select(*COLUMNS)
 
 

@@ -157,6 +157,23 @@ def test_pairs_under_a_shared_template(spark):
     assert {r["doc_id"] for r in got if r["kept"]} == _kept_by_brute_force(texts, 1, 85)
 
 
+def test_pipeline_null_and_repeated_ids(spark):
+    import corpus_pipeline as p
+
+    one, near = " ".join(f"a{i}" for i in range(60)), " ".join(f"a{i}" for i in range(59))
+    words = lambda c, n=40: " ".join(f"{c}{i}" for i in range(n))
+    # 1: repeated rows; 2: its first text is a copy of 1's, its second is not; null: alone, a copy and a near copy
+    texts = [(1, one), (1, one), (2, one), (2, words("b")), (None, words("c")), (None, one), (None, near), (3, words("d")), (3, words("e"))]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    rows = lambda df: sorted(((r["doc_id"] or 0, r["text"]) for r in df.collect()))
+    exact = p.remove_copies(spark, docs, "")
+    left = [(0, words("c")), (1, one), (2, words("b")), (3, words("d")), (3, words("e"))]
+    assert rows(exact) == sorted([*left, (0, near)])
+    assert rows(p.remove_near_copies(spark, exact, "")) == left
+    # one source: each row is taken once, repeated rows too
+    assert rows(p.mix_sources(spark, docs, "")) == sorted((i or 0, t) for i, t in texts)
+
+
 def test_sha_of_texts(spark, con):
     rows = queries.op8_exact_dedup(spark, SF).collect()
     texts = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())

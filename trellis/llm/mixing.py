@@ -45,8 +45,8 @@ def targets(sources: DataFrame, cap: float = 3.0, budget: float = 1.0) -> DataFr
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = 3, budget: float = 1.0,
-        seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken.
+        seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: the ``carry`` columns, doc_id, source, size, source_size, target, taken.
 
     ``size`` is the number of words (0 for null and empty texts, of which nothing can be taken);
     ``taken`` is size times the passes of the document that the mix admits, 0 to ``epochs``. Sources
@@ -56,7 +56,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     """
     spark = documents.sparkSession
     base = materialize(documents.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
+        *carry, F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"),
         F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")))).alias("key"),
     ), "sizes")
     sizes = base.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
@@ -73,7 +73,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     parts = parts.select("ord", "part", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("ord", "part").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
     queued = materialize(rows.join(parts, ["ord", "part"]).select(
-        "doc_id", "source", "size", "source_size", "target",
+        *carry, "doc_id", "source", "size", "source_size", "target",
         (F.col("ahead") + F.sum("size").over(within)).alias("upto"),
     ), "queues")
 
@@ -106,4 +106,4 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
             f = finish(p)
             within_cut = F.lit(False) if last is None else (f < last["finish"]) | ((f == last["finish"]) & (F.col("doc_id") <= last["doc_id"]))
             taken = taken + F.when((F.col("size") > 0) & ((slot_of(f) < cut) | ((slot_of(f) == cut) & within_cut)), F.col("size")).otherwise(0)
-    return queued.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return queued.select(*carry, "doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
