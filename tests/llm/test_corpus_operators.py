@@ -81,6 +81,17 @@ def test_html_layout(source, text):
     assert html_text.html_to_text(source) == text
 
 
+@pytest.mark.parametrize(("source", "text"), [
+    ('<body title="show hidden files"><p aria-label="the hidden truth">a<p class="hidden md:block">b<p data-style="display:none">c<p data-type="hidden-x">d<p class=hidden>e', "a\n\nb\n\nc\n\nd\n\ne"),
+    ('<p hidden>a<p HIDDEN="">b<p style="color:red; Display : none !important">c<p style=visibility:hidden>d<p style="display:none;display:block">e<p title="style=display:none">f', "e\n\nf"),
+    ("x <math><mi>y</mi><mo>=</mo><semantics><mn>2</mn><annotation>tex</annotation></semantics></math> z", "x y=2 z"),
+    ("a<svg><title>no</title><defs><text>no</text></defs><desc/><path d='' /><text>b</text>no<text>c</text></svg>d", "a b c d"),
+    ("a<select><option>b<option>c</select>d<textarea>\ne  &lt;\n f</textarea>g", "a\nb\nc\nd\ne  <\n f\ng"),
+])
+def test_html_shows_what_browsers_show(source, text):
+    assert html_text.html_to_text(source) == text
+
+
 def test_html_table(spark):
     df = clash(spark.createDataFrame([(1, "<p>a"), (2, None), (2, ""), (3, "<div>" * 5000 + "deep"), (4, "<b <i " * 3000)], "page_id long, html string"))
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "a"), (2, ""), (2, ""), (3, "deep"), (4, "")]

@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 #: Fixed values of the HTML language.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes textarea title".split())
-INVISIBLE = frozenset("head script style template title noscript noframes noembed iframe object audio video canvas svg math datalist select textarea link meta base".split())
+INVISIBLE = frozenset("head script style template title noscript noframes noembed iframe object audio video canvas datalist link meta base".split())
+#: Parts of drawings and formulas that are not drawn themselves.
+UNDRAWN = frozenset("defs symbol desc metadata clippath mask marker pattern annotation annotation-xml".split())
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre dl figure fieldset".split())
 BLOCKS = PARAGRAPHS | frozenset("address article aside body center dd details dialog dir div dt figcaption footer form header hgroup hr html legend li main menu nav ol optgroup option search section summary ul table caption tr td th thead tbody tfoot".split())
 #: What a start tag closes, and where the search for it stops.
@@ -33,7 +35,8 @@ CLOSES = {
 CELL_SCOPE = frozenset(("table", "td", "th", "caption"))
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>|<!--(?:.*?-->|.*\Z)|<[!?/][^>]*+>", re.S)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
-_HIDDEN = re.compile(r"(?i)(?:^|[\s\"'])hidden(?=[\s=/]|$)|style\s*=\s*(?:\"[^\"]*|'[^']*|[^\s>]*)(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))|type\s*=\s*[\"']?hidden")
+_ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
+_COMMENT = re.compile(r"/\*.*?\*/", re.S)
 _START = re.compile(r"(?i)(?:^|\s)start\s*=\s*[\"']?(-?\d+)")
 _SPAN = re.compile(r"(?i)(?:^|\s)colspan\s*=\s*[\"']?(\d+)")
 
@@ -115,13 +118,14 @@ def build(source: str) -> Node:
         elif tag in RAW:
             over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, pos)
             node = Node(tag, attributes)
-            node.children.append(source[pos: over.start() if over else len(source)])
+            inner = source[pos: over.start() if over else len(source)]
+            node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
             stack[-1].children.append(node)
             pos = over.end() if over else len(source)
             end = max(end, pos)
         else:
             push(tag, attributes)
-            if attributes.endswith("/") and tag in ("svg", "math"):
+            if attributes.endswith("/") and (tag in ("svg", "math") or count.get("svg") or count.get("math")):
                 pop_to(len(stack) - 1)
 
 
@@ -220,19 +224,44 @@ class Table:
         return out
 
 
+def attributes_of(source: str) -> dict[str, str]:
+    """Names, lower-cased, and values of a tag's attributes; the first of a name counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(source):
+        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
+
+
 def hidden(node: Node) -> bool:
-    a = node.attributes
-    return node.tag in INVISIBLE or bool(a and _HIDDEN.search(a))
+    if node.tag in INVISIBLE:
+        return True
+    low = node.attributes.lower()
+    if "hidden" not in low and "style" not in low:
+        return False
+    has = attributes_of(node.attributes)
+    if "hidden" in has or (node.tag == "input" and has.get("type", "").strip().lower() == "hidden"):
+        return True
+    said: dict[str, tuple[bool, str]] = {}
+    for part in _COMMENT.sub(" ", has.get("style", "")).lower().split(";"):
+        name, _, value = part.partition(":")
+        value, strong, _ = value.partition("!")
+        if bool(strong) >= said.get(name.strip(), (False, ""))[0]:
+            said[name.strip()] = (bool(strong), value.strip())
+    return said.get("display", (False, ""))[1] == "none" or said.get("visibility", (False, ""))[1] in ("hidden", "collapse")
 
 
 def render(root: Node) -> str:
     flows, tables, lists = [Flow()], [], []
     pre = 0
+    drawn: list[bool] = []  # inside drawings: whether text shows
+    formulas = 0
     todo: list[tuple[object, bool]] = [(root, True)]
     while todo:
         node, enter = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if drawn and not drawn[-1]:
+                continue
             if pre:
                 flow.put_lines(node.expandtabs(8).replace("\r\n", "\n").split("\n"))
             elif not (tables and flow is tables[-1][1]) or node.strip(" \t\n\r\f"):
@@ -240,8 +269,12 @@ def render(root: Node) -> str:
             continue
         tag = node.tag
         if enter:
-            if hidden(node):
+            if hidden(node) or ((drawn or formulas) and tag in UNDRAWN):
                 continue
+            if tag == "svg" or (drawn and tag in ("text", "foreignobject")):
+                drawn.append(tag != "svg")
+                flow.space = True
+            formulas += tag == "math"
             if tag == "br":
                 flow.br()
                 continue
@@ -272,15 +305,19 @@ def render(root: Node) -> str:
             elif tag in ("dd", "blockquote"):
                 flow.edge(1 if tag == "dd" else 2)
                 flow.indents.append("    ")
-            elif tag in BLOCKS:
+            elif tag in BLOCKS or tag in ("select", "textarea"):
                 flow.edge(2 if tag in PARAGRAPHS else 1)
-            pre += tag in ("pre", "listing")
+            pre += tag in ("pre", "listing", "textarea")
             todo.append((node, False))
             todo += [(c, True) for c in reversed(node.children)]
-            if tag == "pre" and node.children and isinstance(node.children[0], str):
+            if tag in ("pre", "textarea") and node.children and isinstance(node.children[0], str):
                 todo[-1] = (node.children[0].removeprefix("\n"), True)
             continue
-        pre -= tag in ("pre", "listing")
+        if tag == "svg" or (drawn and tag in ("text", "foreignobject")):
+            drawn.pop()
+            flow.space = True
+        formulas -= tag == "math"
+        pre -= tag in ("pre", "listing", "textarea")
         if tag == "table":
             table, flow = tables.pop()
             flow.edge(1)
@@ -306,7 +343,7 @@ def render(root: Node) -> str:
         elif tag in ("dd", "blockquote"):
             flow.edge(1 if tag == "dd" else 2)
             flow.indents.pop()
-        elif tag in BLOCKS:
+        elif tag in BLOCKS or tag in ("select", "textarea"):
             flow.edge(2 if tag in PARAGRAPHS else 1)
     return flows[0].text()
 
