@@ -261,3 +261,26 @@ def test_casts_and_dates_cover_all_orders(spark):
 
     folder = "/root/testdata/sf0.1"
     assert queries.QUERIES["e4_casts_and_dates"](spark, folder).count() == spark.read.parquet(f"{folder}/orders.parquet").count() == 150_000
+
+
+def test_distinct_statistics(spark):
+    import math
+
+    from pyspark.sql import types as T
+    from trellis.functions import aggregates
+
+    pairs = [(1, 2), (1, 2), (1, 2), (4, 3), (4, 3), (9, 11), (None, 5), (6, None)]
+    df = spark.createDataFrame([(1, y, x) for y, x in pairs] + [(2, None, None)], "k int, y int, x int")
+    names = [n for n in aggregates.PLAIN if n not in aggregates.UNMOVED and n != "mode"]
+
+    def told(frame, distinct):
+        args = lambda n: [F.col("y"), F.col("x")][: aggregates.ARITY.get(n, (1, 1))[0]]
+        kinds = [T.IntegerType(), T.IntegerType()]
+        return frame.groupBy("k").agg(*(aggregates.aggregate(n, args(n), kinds, distinct, None, [], []).alias(n) for n in names)).orderBy("k").collect()
+    got, want, plain = told(df, True), told(df.distinct(), False), told(df, False)
+    for n in names:
+        for a, b in zip(got, want, strict=True):
+            assert a[n] == b[n] or math.isclose(a[n], b[n]), n
+        assert n in ("bit_xor", "median") or not math.isclose(got[0][n], plain[0][n]), n
+    least = df.groupBy("k").agg(aggregates.aggregate("mode", [F.col("y")], [T.IntegerType()], True, None, [], []).alias("m")).orderBy("k").collect()
+    assert [r["m"] for r in least] == [1, None]

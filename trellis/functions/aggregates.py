@@ -31,6 +31,8 @@ PLAIN: dict[str, Plain] = {
     "any_value": lambda x: F.first(x, ignorenulls=True), "median": F.median,
 }
 COUNTS = frozenset(("count", "regr_count"))
+#: Equal with and without repeated values.
+UNMOVED = frozenset("min max bool_and every bool_or bit_and bit_or any_value".split())
 COLLECTIONS = frozenset("array_agg json_agg jsonb_agg string_agg json_object_agg jsonb_object_agg".split())
 ARITY = {"count": (0, 9), "string_agg": (2, 2), "json_object_agg": (2, 2), "jsonb_object_agg": (2, 2), **{n: (2, 2) for n in ("corr", "covar_pop", "covar_samp", *(k for k in PLAIN if k.startswith("regr_")))}}
 
@@ -89,7 +91,45 @@ def aggregate(name: str, args: list[Column], kinds: list[T.DataType], distinct:
         return F.sum_distinct(args[0]) if distinct else _sum(args[0], kinds[0])
     if name == "avg":
         return F.sum_distinct(args[0]) / F.count_distinct(args[0]) if distinct else F.avg(args[0])
-    return PLAIN[name](*args)
+    return _distinct(name, args) if distinct and name not in UNMOVED else PLAIN[name](*args)
+
+
+def _distinct(name: str, args: list[Column]) -> Column:
+    """A statistic over the distinct values, or pairs of values, that have no null."""
+    given = args[0].isNotNull()
+    for a in args[1:]:
+        given = given & a.isNotNull()
+    rows = F.array_sort(F.collect_set(F.when(given, F.struct(*(a.alias(f"v{i}") for i, a in enumerate(args))))))
+    if name == "mode":  # each occurs once: the least
+        return F.get(rows, F.lit(0))["v0"]
+    if name == "bit_xor":
+        values = F.transform(rows, lambda r: r["v0"])
+        return F.when(F.size(values) > 0, F.reduce(F.slice(values, 2, F.greatest(F.size(values), F.lit(1))), F.get(values, F.lit(0)), lambda a, x: a.bitwiseXOR(x)))
+    if name == "median":
+        middle = lambda at: F.get(rows, at.cast("int"))["v0"].cast("double")
+        return (middle(F.floor((F.size(rows) - 1) / 2)) + middle(F.floor(F.size(rows) / 2))) / 2
+    zero = F.struct(*(F.lit(0.0).alias(k) for k in ("n", "mx", "my", "sxx", "syy", "sxy")))
+
+    def add(s: Column, r: Column) -> Column:
+        y, x = r["v0"].cast("double"), r[f"v{len(args) - 1}"].cast("double")
+        n = s["n"] + 1
+        mx, my = s["mx"] + (x - s["mx"]) / n, s["my"] + (y - s["my"]) / n
+        return F.struct(n.alias("n"), mx.alias("mx"), my.alias("my"), (s["sxx"] + (x - s["mx"]) * (x - mx)).alias("sxx"),
+                        (s["syy"] + (y - s["my"]) * (y - my)).alias("syy"), (s["sxy"] + (x - s["mx"]) * (y - my)).alias("sxy"))
+
+    def told(s: Column) -> Column:
+        n, sxx, syy, sxy = s["n"], s["sxx"], s["syy"], s["sxy"]
+        over = lambda a, b: F.when(b > 0, a / b)
+        slope, pop, samp = over(sxy, sxx), over(sxx, n), over(sxx, n - 1)
+        some = lambda c: F.when(n > 0, c)
+        return {
+            "stddev": F.sqrt(samp), "stddev_samp": F.sqrt(samp), "stddev_pop": F.sqrt(pop), "variance": samp, "var_samp": samp, "var_pop": pop,
+            "covar_pop": over(sxy, n), "covar_samp": over(sxy, n - 1), "corr": over(sxy, F.sqrt(sxx * syy)), "regr_count": n.cast("long"),
+            "regr_avgx": some(s["mx"]), "regr_avgy": some(s["my"]), "regr_sxx": some(sxx), "regr_syy": some(syy), "regr_sxy": some(sxy),
+            "regr_slope": slope, "regr_intercept": s["my"] - slope * s["mx"],
+            "regr_r2": F.when(sxx > 0, F.when(syy > 0, sxy * sxy / (sxx * syy)).otherwise(1.0)),
+        }[name]
+    return F.aggregate(rows, zero, add, told)
 
 
 def _collect(name: str, args: list[Column], distinct: bool, held, order, tie) -> Column:
