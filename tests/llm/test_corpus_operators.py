@@ -81,6 +81,13 @@ def test_html_layout(source, text):
     assert html_text.html_to_text(source) == text
 
 
+def test_toxicity_sample_is_of_documents_at_hand(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic: sorted(toxic))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(i, "long " * 50 if i % 3 else "short") for i in range(300, 400)], "doc_id long, text string")
+    assert toxicity.fit(docs, labels, rows=5, chars=50) == [0] * 5 + [1] * 5
+
+
 @pytest.mark.parametrize(("source", "text"), [
     ('<body title="show hidden files"><p aria-label="the hidden truth">a<p class="hidden md:block">b<p data-style="display:none">c<p data-type="hidden-x">d<p class=hidden>e', "a\n\nb\n\nc\n\nd\n\ne"),
     ('<p hidden>a<p HIDDEN="">b<p style="color:red; Display : none !important">c<p style=visibility:hidden>d<p style="display:none;display:block">e<p title="style=display:none">f', "e\n\nf"),

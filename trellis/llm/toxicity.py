@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES, SUFFIXES = (3, 4, 5), (3, 4)
 WINDOW, OVERLAP = 4096, 64
@@ -259,18 +261,20 @@ def held_out(doc_id) -> "F.Column":
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Crf:
-    """Trains on a bounded sample: ``rows`` labelled ids of each label in order of a hash, of texts of
-    up to ``chars`` characters. Held-out ids and null labels are left out; an id labelled twice is
+    """Trains on a bounded sample: of the labelled ids that ``documents`` hold with texts of 1 to ``chars``
+    characters, the first ``rows`` of each label in order of a hash. Held-out ids and null labels are left out; an id labelled twice is
     toxic if either label is. Missing labels give a field that scores all near 0."""
     known = (
         labels.select(F.col(doc_id).alias("id"), F.col(toxic).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
         .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     )
+    short = documents.where(F.length(text).between(1, chars)).select(F.col(doc_id).alias("id"))
+    known = materialize(known.join(short, "id", "left_semi"), "labelled")
     order = (F.xxhash64("id"), F.col("id"))
     ids = known.where("y = 1").orderBy(*order).limit(rows).unionByName(known.where("y = 0").orderBy(*order).limit(rows))
     sample = (
         documents.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id")  # 2 * rows ids at most
-        .where(F.length("t") <= chars).dropDuplicates(["id"]).select("id", "t", "y").collect()
+        .where(F.length("t").between(1, chars)).dropDuplicates(["id"]).select("id", "t", "y").collect()
     )
     sample.sort(key=lambda r: r["id"])
     return train([r["t"] for r in sample], [r["y"] for r in sample])
