@@ -81,6 +81,13 @@ def test_html_layout(source, text):
     assert html_text.html_to_text(source) == text
 
 
+def test_nearest_of_ids_with_many_vectors(spark):
+    rows = [(0, [0.0, 1.0])] + [(7, [0.001 * i, 1.0]) for i in range(1, 60)] + [(i, [float(i), 1.0]) for i in range(1, 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id = 0"), 3).orderBy("rank").collect()
+    assert [(r["vec_id"], round(r["score"], 6)) for r in got] == [(7, 0.001), (1, 1.0), (2, 2.0)]
+
+
 def test_toxicity_sample_is_of_documents_at_hand(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda texts, toxic: sorted(toxic))
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")

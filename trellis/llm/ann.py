@@ -37,8 +37,12 @@ def usable(vector: Column) -> Column:
 class Index:
     """The sorted projections of a shard."""
 
-    def __init__(self, vectors: np.ndarray, seed: int = 11):
+    def __init__(self, vectors: np.ndarray, seed: int = 11, ids: np.ndarray | None = None):
         self.vectors = vectors
+        # numbers of the ids, where vectors share some
+        self.of = None
+        if ids is not None and len(own := np.unique(ids)) < len(ids):
+            self.of = np.searchsorted(own, ids)
         lines = np.random.default_rng(seed).standard_normal((vectors.shape[1], PROJECTIONS))
         self.lines = lines
         with np.errstate(all="ignore"):
@@ -47,7 +51,7 @@ class Index:
         self.sorted = np.take_along_axis(projected.T, self.order, axis=1)
 
     def search(self, query: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and distances of the k nearest found, not those that ``skip`` marks."""
+        """Positions and distances of what was found, the k nearest (of different ids) among it, not those that ``skip`` marks."""
         n = len(self.vectors)
         at = query @ self.lines
         count = np.zeros(n, np.int64)
@@ -71,7 +75,12 @@ class Index:
             known[hits] = True
             found = np.concatenate([found, hits])
             distance = np.concatenate([distance, np.sqrt(((self.vectors[hits] - query) ** 2).sum(1))])
-            if whole or (len(distance) >= k and np.partition(distance, k - 1)[k - 1] <= SLACK * radius):
+            near = distance
+            if self.of is not None:
+                own, which = np.unique(self.of[found], return_inverse=True)
+                near = np.full(len(own), np.inf)
+                np.minimum.at(near, which, distance)
+            if whole or (len(near) >= k and np.partition(near, k - 1)[k - 1] <= SLACK * radius):
                 return found, distance
             radius *= GROWTH
 
@@ -96,24 +105,19 @@ def _searcher(k: int):
         # the same id and vector again is one candidate
         _, once = np.unique(np.concatenate([ids[:, None].astype(float), x], axis=1), axis=0, return_index=True)
         ids, x = ids[once], x[once]
-        index = Index(x)
+        index = Index(x, ids=ids)
         order = np.lexsort([*_matrix(queries["v"]).T[::-1], queries["id"].to_numpy()])
         q_ids, q = queries["id"].to_numpy()[order], _matrix(queries["v"])[order]
         first = np.concatenate([[True], q_ids[1:] != q_ids[:-1]])
         out_q, out_v, out_s = [], [], []
         for i, query in zip(q_ids[first], q[first], strict=True):
             at, distance = index.search(query, k, ids == i)
-            best = np.lexsort([ids[at], distance])[: 4 * k]
-            got = dict.fromkeys(ids[at[b]] for b in best)
-            nearest = {v: None for v in got}
-            for b in best:
-                v = ids[at[b]]
-                if nearest[v] is None:
-                    nearest[v] = distance[b]
-            for v in list(nearest)[:k]:
-                out_q.append(i)
-                out_v.append(v)
-                out_s.append(nearest[v])
+            best = np.lexsort([ids[at], distance])
+            # of each id the nearest vector
+            best = best[np.sort(np.unique(ids[at[best]], return_index=True)[1])[:k]]
+            out_q += [i] * len(best)
+            out_v += ids[at[best]].tolist()
+            out_s += distance[best].tolist()
         return pa.table([pa.array(out_q, pa.int64()), pa.array(out_v, pa.int64()), pa.array(out_s, pa.float64())], schema=_KIND)
 
     return search
@@ -126,7 +130,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, vec_id: str = "
     score is the Euclidean distance of the original vectors in double precision; ties go to the
     smaller id. Candidates are all rows but those of the query's id. Null ids, and vectors that are
     null, zero or hold null or non-finite components, take no part; vectors of another length than the
-    query's are no candidates. Repeated rows are one candidate; of a query id with several vectors the
+    query's are no candidates. Rows of one id are one candidate, at its nearest vector; of a query id with several vectors the
     first in order of components asks. Fewer candidates than k are all returned; empty tables give an
     empty result.
     """
