@@ -60,3 +60,11 @@ def n_words(c: Column) -> Column:
 def broadcast_if(small: DataFrame, rows: int, bytes_per_row: int, most_bytes: int = 8 << 20) -> DataFrame:
     """Broadcasts ``small`` only where its counted rows fit ``most_bytes``; else the join shuffles."""
     return F.broadcast(small) if rows * bytes_per_row <= most_bytes else small
+
+
+def fresh(columns, name: str) -> str:
+    """``name``, with underscores in front where a column of the table has it (in any case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

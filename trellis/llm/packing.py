@@ -3,10 +3,11 @@
 Documents become pieces of at most ``length`` tokens; only longer documents are cut. Pieces are dealt
 to partitions of bounded size and packed there by best fit decreasing (the fullest sequence that
 takes a piece, longest pieces first). Dual feasible functions give each partition a lower bound on
-the sequences that any packing of its pieces needs. A partition gives up the pieces of its least full
-sequences, which hold half of its free room, and all but the full ones while there is a gap to its
-bound; one that meets its bound with no room left over is certified and final. Several partitions' pieces
-are put together and packed again, until nothing is given up or all of it meets in one partition.
+the sequences that any packing of its pieces needs. A partition that meets its bound is certified and
+gives up only the remainder in its least full sequences; one with a gap gives up its least full
+sequences, of up to half of its pieces. What is given up meets the same of other partitions, in half
+as many partitions, and is packed again by best fit decreasing, until nothing is given up or all of
+it meets in one partition.
 """
 
 from __future__ import annotations
@@ -16,16 +17,15 @@ from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .tokens import tokenizer
 
 PARTITION = 20_000  # pieces packed by one task
-MEET = 8  # partitions whose given-up pieces meet
 
 
 def tokenize(documents: DataFrame, vocabulary: str, length: int = 4096, end_id: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -110,57 +110,70 @@ def lower_bound(lengths: np.ndarray, capacity: int) -> int:
     return best
 
 
-def _pack(capacity: int, last: bool):
-    def pack(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "row", "piece"], ascending=[False, True, True, True], na_position="first", kind="stable").reset_index(drop=True)
-        lengths = group["length"].to_numpy(np.int64)
+def _given_up(bins: np.ndarray, lengths: np.ndarray, capacity: int) -> np.ndarray:
+    """Which bins of a partition are packed again with others': the least full ones, never a full one,
+    and never more than half of the pieces. With a gap to the bound as many as that allows; a certified
+    partition gives those that hold half of its free room, a remainder that may fit another's."""
+    fill = np.bincount(bins, weights=lengths).astype(np.int64)
+    order = np.argsort(fill, kind="stable")
+    order = order[fill[order] < capacity]
+    given = np.zeros(len(fill), bool)
+    if not len(order):
+        return given
+    if len(fill) == lower_bound(lengths, capacity):
+        room = np.cumsum(capacity - fill[order])
+        order = order[: int(np.searchsorted(room, room[-1] / 2)) + 1]
+    pieces = np.cumsum(np.bincount(bins)[order])
+    given[order[: int(np.searchsorted(pieces, len(lengths) // 2, side="right"))]] = True
+    return given
+
+
+def _pack(capacity: int, last: bool, names: dict[str, str]):
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, [("length", "descending"), *((c, "ascending") for c in ("doc_id", "row", "piece"))]))
+        lengths = group["length"].to_numpy().astype(np.int64)
         bins = best_fit_decreasing(lengths, capacity)
-        fill = np.bincount(bins, weights=lengths).astype(np.int64)
-        gap = len(fill) - lower_bound(lengths, capacity)
-        open_bins = np.zeros(len(fill), bool)
-        if not last:
-            # even a certified partition has a remainder that may fit another's
-            order = np.argsort(fill, kind="stable")
-            room = np.cumsum(capacity - fill[order])
-            given = order if gap > 0 else order[: int(np.searchsorted(room, room[-1] / 2)) + 1]
-            open_bins[given[fill[given] < capacity]] = True
-        start = np.zeros(len(group), np.int64)
+        open_bins = np.zeros(int(bins.max()) + 1, bool) if last else _given_up(bins, lengths, capacity)
+        start = np.zeros(len(lengths), np.int64)
         by_bin = np.argsort(bins, kind="stable")
         ends = np.cumsum(lengths[by_bin])
         first = np.concatenate([[True], bins[by_bin][1:] != bins[by_bin][:-1]])
         base = np.maximum.accumulate(np.where(first, ends - lengths[by_bin], 0))
         start[by_bin] = ends - lengths[by_bin] - base
-        return group.assign(bin=bins, offset=start, open=open_bins[bins])
+        for name, values in (("bin", bins), ("offset", start), ("open", open_bins[bins])):
+            group = group.append_column(names[name], pa.array(values))
+        return group
 
     return pack
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, partition: int = PARTITION) -> DataFrame:
-    """Adds sequence_id and offset to pieces (doc_id, row, piece, length, ...).
+    """Adds sequence_id and offset to pieces (doc_id, row, piece, length, and any other columns, which stay;
+    those named sequence_id or offset are replaced).
 
-    Lengths are 1 to ``capacity``. Pieces are dealt by a hash of (doc_id, row, piece), so a hot id
-    does not gather them. Sequence ids are any distinct numbers. Empty table: empty result.
+    Lengths are 1 to ``capacity``. Pieces are dealt by a hash of (doc_id, row, piece), so neither a hot nor
+    a null id gathers them. A round leaves at most half of the pieces and half of the partitions, so there
+    are about log2 of the partitions rounds, each of partitions of bounded size. Sequence ids are any
+    distinct numbers. Equal rows are packed each; empty table: empty result.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     columns = pieces.columns
-    kinds = ", ".join(f"{n} {k}" for n, k in pieces.dtypes)
-    n = pieces.count()
-    groups = max(1, -(-n // partition))
-    todo = pieces.withColumn("group", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups)))
-    done, level = None, 0
+    names = {n: fresh(columns, n) for n in ("group", "bin", "offset", "open")}
+    group, number, is_open = (F.col(names[n]) for n in ("group", "bin", "open"))
+    kinds = ", ".join(f"`{n}` {k}" for n, k in [*pieces.dtypes, *zip((names[n] for n in ("group", "bin", "offset", "open")), ("long", "long", "long", "boolean"), strict=True)])
+    groups = max(1, -(-pieces.count() // partition))
+    todo = pieces.withColumn(names["group"], F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(groups)))
+    done, level, base = None, 0, 0
     while True:
-        last = groups == 1
-        packed = todo.groupBy("group").applyInPandas(_pack(capacity, last), f"{kinds}, group long, bin long, offset long, open boolean")
-        packed = materialize(packed, f"packed-{level}")
-        # level, group and bin in one number: any level's groups times a partition's bins stay far below 2^57
-        final = packed.where("NOT open").select(*columns, (F.lit(level << 57) + F.col("group") * (1 << 24) + F.col("bin")).alias("sequence_id"), "offset")
+        packed = materialize(todo.groupBy(names["group"]).applyInArrow(_pack(capacity, groups == 1, names), kinds), f"packed-{level}")
+        left, widest = packed.agg(F.count_if(is_open), F.max(number)).first()
+        stride = (widest or 0) + 1
+        final = packed.where(~is_open).select(*(F.col(f"`{c}`") for c in columns), (F.lit(base) + group * F.lit(stride) + number).alias("sequence_id"), F.col(names["offset"]).alias("offset"))
         done = final if done is None else done.unionByName(final)
-        if last:
-            return done
-        rest = packed.where("open").select(*columns, "group")
-        left = rest.count()
         if not left:
             return done
-        # what is left meets in fewer partitions, of about as many pieces as before
-        groups = min(groups - 1, max(-(-groups // MEET), -(-left // partition)))
-        todo = rest.withColumn("group", F.pmod("group", F.lit(groups)))
+        base += groups * stride
+        # what is left meets in at most half as many partitions, of about as many pieces as before
+        groups = max(1, min(groups // 2, -(-left // partition)))
+        todo = packed.where(is_open).drop(names["bin"], names["offset"], names["open"]).withColumn(names["group"], F.pmod(group, F.lit(groups)))
         level += 1
