@@ -88,6 +88,27 @@ def test_nearest_of_ids_with_many_vectors(spark):
     assert [(r["vec_id"], round(r["score"], 6)) for r in got] == [(7, 0.001), (1, 1.0), (2, 2.0)]
 
 
+def test_nearest_ids_beyond_doubles(spark):
+    rows = [(0, [0.0, 1.0])] + [(2**53 + i, [0.5, 1.0]) for i in range(3)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(rows[:1], "vec_id long, embedding array<double>"), 3)
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == [2**53, 2**53 + 1, 2**53 + 2]
+
+
+def test_nearest_recall_over_shards_and_blocks(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(1500, 24)), np.repeat(rng.normal(size=(60, 24)), 10, axis=0) + 0.05 * rng.normal(size=(600, 24))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, df.where("vec_id % 30 = 0"), 10, shard_rows=400, query_rows=20).collect()
+    hits = 0
+    for q in range(0, len(x), 30):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        best = [int(i) for i in np.argsort(d, kind="stable") if i != q][:10]
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r[0] for r in mine] == list(range(1, 11)) and all(r[2] == d[r[1]] for r in mine)
+        hits += len(set(best) & {r[1] for r in mine})
+    assert hits >= 0.95 * 10 * len(range(0, len(x), 30))
+
+
 def test_toxicity_sample_is_of_documents_at_hand(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda texts, toxic: sorted(toxic))
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id long, toxic int")
@@ -266,6 +287,23 @@ def test_partitions_exchange(spark):
     assert packing.pack(pieces.limit(0)).count() == 0
 
 
+def test_packing_rounds_are_few(spark, monkeypatch):
+    """Sizes that never meet their bound: rounds go with the logarithm of the partitions."""
+    written = []
+    keep = packing.materialize
+    monkeypatch.setattr(packing, "materialize", lambda df, name: written.append(name) or keep(df, name))
+    lengths = np.random.default_rng(1).integers(1000, 2001, 14_200)
+    pieces = spark.createDataFrame([(i // 3 if i % 5 else None, i, 0, int(n), "x", 1, 2, 3) for i, n in enumerate(lengths)],
+                                   "doc_id long, row long, piece int, length long, `group` string, bin int, Open int, sequence_id int")
+    got = packing.pack(pieces, 4096, partition=200).select("row", "length", "sequence_id", "offset", "group", "bin").collect()
+    assert sorted((r["row"], r["length"]) for r in got) == list(enumerate(lengths.tolist())) and len(written) <= 7 and {(r["group"], r["bin"]) for r in got} == {("x", 1)}
+    fill = {}
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill.get(r["sequence_id"], 0)
+        fill[r["sequence_id"]] = r["offset"] + r["length"]
+    assert max(fill.values()) <= 4096 and len(fill) <= 1.005 * (packing.best_fit_decreasing(lengths, 4096).max() + 1)
+
+
 def test_token_memory_equals_library(spark):
     import public_tokenizers
 
