@@ -1,76 +1,126 @@
 """Exact deduplication by content sort.
 
-Rows are range-partitioned by sampled splitters over (leading bytes, SHA-256, id) of the normalised
-text and sorted outside memory by (leading bytes, SHA-256, text, id), so that equal texts are
-adjacent. A pass over each sorted partition compares every text in full with its neighbour and gives
-each row the number of its run. The splitters are of bounded size however long texts are, and the id
-in the range key lets thousands of copies of one text spread over many partitions; their runs meet
-again by digest in a partial aggregate. Only ids and digests travel after the sort.
+Rows are range-partitioned by sampled splitters over (leading characters, SHA-256, id) of the normalised
+text and sorted outside memory by (leading characters, SHA-256, text, id), so that equal texts are
+adjacent, the row to keep first. A pass over each sorted partition compares every text in full with its
+neighbour; that alone tells runs of equal texts apart, and the first row of a run names what stays. The
+splitters are of bounded size however long texts are, and the id in the range key lets thousands of
+copies of one text spread over many partitions. So the runs at either end of a partition, and only they,
+may go on in others: they send their text, once each, and meet by the text itself. The digest orders
+rows and is part of the result; it decides nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import broadcast_if, materialize
 
 LEAD = 16  # leading characters in the range key
+RUNS = 1 << 32  # runs of one partition, at most
+
+
+def _starts(column: pa.Array, before) -> np.ndarray:
+    """Whether each value differs from the one before it (``before``: of the last batch)."""
+    shifted = pa.concat_arrays([pa.array([before], column.type), column.slice(0, len(column) - 1)])
+    return pc.fill_null(pc.not_equal(column, shifted), True).to_numpy(zero_copy_only=False)
+
+
+def _closed(ids: pa.Array, sha: pa.Array, starts: np.ndarray, first_run: int, texts: list[str] | None) -> pa.RecordBatch:
+    """Rows of whole runs; ``texts`` are those of runs that other partitions may go on with."""
+    first = np.flatnonzero(starts)
+    run = np.cumsum(starts) - 1
+    size = np.diff(np.append(first, len(starts)))
+    text = [None] * len(starts)
+    for i, t in zip(first.tolist(), texts or (), strict=False):
+        text[i] = t
+    return pa.RecordBatch.from_arrays(
+        [ids, ids.take(pa.array(first[run])), pa.array(size[run]), sha, pa.array(first_run + run), pa.array(starts), pa.array(np.full(len(starts), texts is not None)), pa.array(text, pa.string())],
+        ["doc_id", "keep_id", "size", "sha", "run", "first", "open", "text"])
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Numbers the texts that share a digest: 0 for the first, 1 more where a neighbour differs."""
+    """Runs of equal neighbours among sorted (doc_id, text, sha)."""
+    number = TaskContext.get().partitionId() * RUNS
     last_text = last_sha = None
-    number = 0
+    held: list[tuple[pa.Array, pa.Array, np.ndarray]] = []  # rows of the last digest, without their texts
+    texts: list[str] = []  # of its runs
+    at_start = True
+
+    def close(open_: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal number, texts
+        if held:
+            ids, sha, starts = (list(x) for x in zip(*held, strict=True))
+            whole = np.concatenate(starts)
+            yield _closed(pa.concat_arrays(ids), pa.concat_arrays(sha), whole, number, texts if open_ else None)
+            number += int(whole.sum())
+            held.clear()
+            texts = []
+
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        text, sha = batch.column("text"), batch.column("sha")
-        before_text = pa.concat_arrays([pa.array([last_text], text.type), text.slice(0, n - 1)])
-        before_sha = pa.concat_arrays([pa.array([last_sha], sha.type), sha.slice(0, n - 1)])
-        same_sha = pc.fill_null(pc.equal(sha, before_sha), False)
-        same_text = pc.fill_null(pc.equal(text, before_text), False)
-        numbers = []
-        if pc.all(pc.or_(pc.invert(same_sha), same_text)).as_py() and number == 0:
-            numbers = pa.repeat(pa.scalar(0, pa.int32()), n)
-        else:
-            for s, t in zip(same_sha.to_pylist(), same_text.to_pylist(), strict=True):
-                number = 0 if not s else number + (not t)
-                numbers.append(number)
-            numbers = pa.array(numbers, pa.int32())
+        ids, text, sha = (batch.column(c) for c in ("doc_id", "text", "sha"))
+        digest = _starts(sha, last_sha)
+        run = digest | _starts(text, last_text)
         last_text, last_sha = text[n - 1].as_py(), sha[n - 1].as_py()
-        number = numbers[n - 1].as_py()
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), sha, numbers], ["doc_id", "sha", "number"])
+        at = np.flatnonzero(digest)
+        a, b = (int(at[0]), int(at[-1])) if len(at) else (n, n)
+        if a:
+            held.append((ids.slice(0, a), sha.slice(0, a), run[:a]))
+            texts += [text[i].as_py() for i in np.flatnonzero(run[:a]).tolist()]
+        if len(at):
+            if held:
+                yield from close(at_start)
+                at_start = False
+            if at_start and b > a:
+                # the partition's first digest ends inside this batch
+                c = int(at[1])
+                held.append((ids.slice(a, c - a), sha.slice(a, c - a), run[a:c]))
+                texts += [text[i].as_py() for i in (a + np.flatnonzero(run[a:c])).tolist()]
+                yield from close(True)
+                a, at_start = c, False
+            if b > a:
+                yield _closed(ids.slice(a, b - a), sha.slice(a, b - a), run[a:b], number, None)
+                number += int(run[a:b].sum())
+            held.append((ids.slice(b), sha.slice(b), run[b:]))
+            texts += [text[i].as_py() for i in (b + np.flatnonzero(run[b:])).tolist()]
+    yield from close(True)
 
 
 def exact_duplicates(documents: DataFrame, keep: str = "min", normalise=None,
-                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+                     doc_id: str = "doc_id", text: str = "text", digest=lambda c: F.sha2(c, 256)) -> DataFrame:
     """One row per row of ``documents``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical after ``normalise`` (a function of Columns; default: no change);
-    null counts as empty. Of equal texts the row with the smallest id (``keep="max"``: the largest)
-    stays. Repeated rows of the same id and text count in group_size and are all kept or dropped
-    together; a row with a null id stays only in a group without other ids. Empty table: empty result.
+    null counts as empty. Of equal texts one row stays, of the smallest id (``keep="max"``: the largest);
+    which of several rows of that id is not told. Repeated rows count in group_size; a row with a null id
+    stays only in a group without other ids. Empty table: empty result.
     """
     norm: Column = F.coalesce(F.col(text).cast("string"), F.lit(""))
     norm = normalise(norm) if normalise else norm
     keyed = documents.select(F.col(doc_id).alias("doc_id"), norm.alias("text")).select(
-        "doc_id", "text", F.sha2("text", 256).alias("sha"), F.substring("text", 1, LEAD).alias("lead"))
-    sorted_rows = keyed.repartitionByRange("lead", "sha", "doc_id").sortWithinPartitions("lead", "sha", "text", "doc_id")
-    rows = materialize(sorted_rows.select("doc_id", "text", "sha").mapInArrow(_runs, f"doc_id {dict(keyed.dtypes)['doc_id']}, sha string, number int"), "runs")
-    pick = F.min if keep == "min" else F.max
-    groups = rows.groupBy("sha", "number").agg(pick("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # a second key, which the grouping does not have: either side is shuffled for the join itself, so that
-    # AQE may split a hot group
-    fold = F.xxhash64("text_sha256").alias("fold")
-    many = groups.where("group_size > 1").select(F.col("sha").alias("text_sha256"), "number", F.col("keep_id").alias("first_id"), "group_size")
-    keep_id = F.coalesce(F.col("first_id"), F.col("doc_id"))
-    return rows.withColumnRenamed("sha", "text_sha256").select("*", fold).join(many.select("*", fold), ["text_sha256", "number", "fold"], "left").select(
-        "doc_id", keep_id.alias("keep_id"), F.coalesce(F.col("group_size"), F.lit(1)).alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep_id).alias("kept"), "text_sha256",
-    )
+        "doc_id", "text", digest(F.col("text")).alias("sha"), F.substring("text", 1, LEAD).alias("lead"))
+    order = F.col("doc_id").asc_nulls_last() if keep == "min" else F.col("doc_id").desc_nulls_last()
+    sorted_rows = keyed.repartitionByRange("lead", "sha", order).sortWithinPartitions("lead", "sha", "text", order)
+    kind = dict(keyed.dtypes)["doc_id"]
+    rows = materialize(sorted_rows.select("doc_id", "text", "sha").mapInArrow(
+        _runs, f"doc_id {kind}, keep_id {kind}, size long, sha string, run long, first boolean, open boolean, text string"), "runs")
+    out = lambda df, keep_id, size, kept: df.select("doc_id", keep_id.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), F.col("sha").alias("text_sha256"))
+    closed = out(rows.where("NOT open"), F.col("keep_id"), F.col("size"), F.col("first"))
+    # at most two runs a partition, and those of a colliding digest
+    ends = rows.where("open AND first").select("text", "run", "size", "keep_id")
+    known = F.col("keep_id").isNotNull()
+    best = F.max(F.struct(known.alias("known"), "keep_id", (-F.col("run")).alias("run"))) if keep == "max" else F.min(F.struct((~known).alias("known"), "keep_id", "run"))
+    met = ends.groupBy("text").agg(best.alias("best"), F.sum("size").alias("total")).select("text", F.col("best.keep_id").alias("of_all"), F.abs("best.run").alias("own"), "total")
+    ends = materialize(ends.select("text", "run").join(met, "text").select("run", "of_all", "own", "total"), "ends")
+    open_rows = rows.where("open").join(broadcast_if(ends, ends.count(), 40), "run")
+    return closed.unionByName(out(open_rows, F.col("of_all"), F.col("total"), F.col("first") & (F.col("run") == F.col("own"))))
