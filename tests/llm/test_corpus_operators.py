@@ -57,6 +57,27 @@ def test_mixing_reshares_excess(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_mixing_repeated_and_null_ids_rerun_alike(spark):
+    """Budget cuts inside ties: the same rows in any order and partitioning give the same mix."""
+    rng = random.Random(6)
+    rows = [(rng.choice([None, *range(50)]), "w " * rng.randint(0, 30), rng.choice(["a", "b", None])) for _ in range(400)]
+    rows += rows[:100]
+    seen = set()
+    for k in range(4):
+        rng.shuffle(rows)
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(k + 1)
+        got = mixing.mix(df, budget=0.77).collect()
+        seen.add(tuple(sorted(map(repr, got))))
+        assert sum(r["taken"] for r in got) <= 0.77 * sum(r["size"] for r in got) and any(r["taken"] and r["doc_id"] is None for r in got)
+    assert len(seen) == 1
+
+
+def test_running_sums_over_partitions(spark):
+    df = spark.range(0, 5000, 1, 7).select(F.xxhash64("id").alias("k"), F.lit(2).alias("v"))
+    got = mixing.running(df, ["k"], "v").collect()
+    assert [(r["_at"], r["_upto_v"]) for r in sorted(got, key=lambda r: r["k"])] == [(i, 2 * i) for i in range(1, 5001)]
+
+
 # 3
 def test_nearest_edges(spark):
     nan, inf = float("nan"), float("inf")
@@ -178,6 +199,19 @@ def test_forward_backward_against_enumeration():
 
 
 # 6
+def test_pairs_over_parts_and_partitions(spark, monkeypatch):
+    """One region, worked off in many parts over many partitions; nothing is lost between them."""
+    monkeypatch.setattr(near_dedup, "PART", 60)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        template = " ".join(f"b{i}" for i in range(400))
+        rows = [(2 * p + s, template + "".join(f" p{p}_{i}" for i in range(52)) + "".join(f" u{p}_{s}_{i}" for i in range(34))) for p in range(400) for s in range(2)]
+        got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, d - d % 2) for d in range(800)}
+
+
 def test_near_edges(spark):
     long = " ".join(f"v{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "A b"), (5, "a\tB"), (6, "a b c"), (7, "A B C"), (8, long), (9, long + " more"), (9, "other words here now"), (None, "a b c"), (10, "b a"), (11, "É b c"), (12, "é b c")]

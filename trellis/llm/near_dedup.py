@@ -36,6 +36,7 @@ from .components import components
 from .shingles import fingerprint, mix64, shingle_sets
 
 POSITIONS, TREES, DEPTH, LEAF, HUBS, SPREAD = 96, 16, 4, 16, 4, 32
+PART = 20_000  # classes of a region that are worked off together
 SKETCH = 1 << 18  # counters that tell rare shingles from common ones
 OPEN = 2.0  # est of the pairs (a, a) that note open classes
 _rng = np.random.default_rng(7)
@@ -118,6 +119,8 @@ def _leaves(order: np.ndarray) -> list[tuple[int, int]]:
 def _candidates(least: float):
     """Candidate pairs (a, b, est) of sorted (tree, region, order) rows; est is at least ``least``, and
     OPEN in a pair (a, a) for every class of a region not compared in full here."""
+    part = PART
+
     def pairs_of(reps: np.ndarray, order: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         n = len(reps)
         if n > LEAF:
@@ -167,7 +170,7 @@ def _candidates(least: float):
                     cut_off = last is None
                     last, reps, orders = key, [], []
                 # a region longer than this is worked off in parts, as one that runs over partitions
-                if len(reps) >= 20_000:
+                if len(reps) >= part:
                     yield from emit(reps, orders, True)
                     reps, orders, cut_off = [], [], True
                 reps += rep[a:b].tolist()
