@@ -176,7 +176,7 @@ def test_toxic_spans(spark):
     assert all(r["score"] < 0.01 for r in toxicity.score(docs, toxicity.fit(docs, labels.limit(0))).collect())
 
 
-def test_forward_backward_against_enumeration():
+def test_forward_backward_against_enumeration(monkeypatch):
     import itertools
 
     rng = np.random.default_rng(0)
@@ -189,13 +189,21 @@ def test_forward_backward_against_enumeration():
             total += w
             ones += w * np.array(y)
         assert np.allclose(model.marginals([e, np.zeros(0), e[:1]])[0], ones / total)
-    long = rng.normal(size=10_000)
-    whole, toxicity.WINDOW = toxicity.WINDOW, 20_000
-    try:
+    long = rng.normal(size=10_000) * 5
+    for transitions in (model.transitions, np.array([[9.0, -9.0], [-9.0, 9.0]]), np.array([[-9.0, 9.0], [9.0, -9.0]])):  # the last two hardly forget
+        model.transitions = transitions
+        monkeypatch.setattr(toxicity, "WINDOW", 20_000)
         exact = model.marginals([long])[0]
-    finally:
-        toxicity.WINDOW = whole
-    assert np.abs(model.marginals([long])[0] - exact).max() < 1e-9
+        monkeypatch.setattr(toxicity, "WINDOW", 97)
+        assert all(np.abs(p - exact[: len(p)]).max() < 1e-9 for p in model.marginals([long, long]))
+
+
+def test_toxic_clashing_columns(spark):
+    model = toxicity.Crf({"=bad": 12.0}, -6.0)
+    df = spark.createDataFrame([(1, "so bad", 7, 8, 9, 0), (2, "fine", 7, 8, 9, 0)], "doc_id long, text string, score int, spans int, _id int, carry_0 int")
+    got = toxicity.score(df, model, carry=("score", "spans", "_id", "carry_0", "text"))
+    assert got.columns == ["_id", "carry_0", "text", "doc_id", "score", "spans"]
+    assert {(r["doc_id"], r["score"] > 0.9, len(r["spans"]), r["_id"], r["text"]) for r in got.collect()} == {(1, True, 1, 9, "so bad"), (2, False, 0, 9, "fine")}
 
 
 # 6

@@ -49,7 +49,7 @@ def test_nearest_recall(spark, con):
 
 def test_toxicity_held_out(spark, con):
     got = {r["doc_id"]: r for r in queries.op5_toxicity(spark, "/root/testdata/sf0.1").collect()}
-    assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in got.items())
+    assert all(0 <= r["score"] <= 1 and bool(r["spans"]) == (r["predicted"] == 1) and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in got.items())
     told = con.sql("SELECT doc_id, toxic FROM '/root/testdata/sf0.1/labels.parquet'").fetchall()
     held = [(got[d]["predicted"], y) for d, y in told if got[d]["held_out"]]
     caught = sum(p for p, y in held if y) / sum(y for _, y in held)

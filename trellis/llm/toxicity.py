@@ -11,8 +11,8 @@ are the offending spans.
 
 With two states the recursions need only the ratio of the states' messages, one number a token. The
 sequences of a batch are worked off in step, longest first, so that a step is a few vector operations
-whatever their number. A document of more than ``WINDOW`` tokens is run in windows that overlap by
-``OVERLAP`` on either side: the messages forget their start at a geometric rate.
+whatever their number. A document of more than ``WINDOW`` tokens is run in windows, which exchange
+messages exactly: the product of a window's step matrices tells what it makes of any message.
 """
 
 from __future__ import annotations
@@ -32,10 +32,10 @@ from .common import materialize
 
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES, SUFFIXES = (3, 4, 5), (3, 4)
-WINDOW, OVERLAP = 4096, 64
+WINDOW = 4096
 #: Bounds of the classifier's sample: labelled rows of each label, and the longest text among them.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
-SPAN = 0.5
+SPAN = 0.3  # marginal from which a token is offending, and a document toxic
 
 
 def features(word: str) -> list[str]:
@@ -50,11 +50,19 @@ def _steps(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right")
 
 
-def _messages(odds: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ratios of the forward and backward messages; ``lengths`` fall and are positive."""
+def _messages(odds: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Ratios of the forward and backward messages; ``lengths`` fall and are positive. ``before`` and
+    ``after`` are the ratios that sequences get from what precedes and follows them; nan: nothing does."""
     (t00, t01), (t10, t11) = np.exp(transitions)
     starts, active = _steps(lengths)
     forward, backward = odds.copy(), np.ones_like(odds)
+    if before is not None:
+        got = ~np.isnan(before)
+        r = before[got]
+        forward[starts[got]] *= (r * t11 + t01) / (r * t10 + t00)
+    if after is not None:
+        got = ~np.isnan(after)
+        backward[(starts + lengths - 1)[got]] = after[got]
     for t in range(1, len(active)):
         at = starts[: active[t]] + t
         r = forward[at - 1]
@@ -66,6 +74,38 @@ def _messages(odds: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) ->
     return forward, backward
 
 
+def _products(odds: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Of every sequence the product of the step matrices of its tokens but the first, up to a factor."""
+    t = np.exp(transitions)
+    starts, active = _steps(lengths)
+    out = np.tile(np.eye(2), (len(lengths), 1, 1))
+    for k in range(1, len(active)):
+        n = active[k]
+        o = odds[starts[:n] + k]
+        step = out[:n] @ t
+        step[:, :, 1] *= o[:, None]
+        out[:n] = step / step.max(axis=(1, 2), keepdims=True)
+    return out
+
+
+def _exchanged(odds: list[np.ndarray], transitions: np.ndarray) -> tuple[list[float], list[float]]:
+    """The ratios that the windows of one document get from before and from after them."""
+    t = np.exp(transitions)
+    order = sorted(range(len(odds)), key=lambda k: -len(odds[k]))
+    inner = np.empty((len(odds), 2, 2))
+    inner[order] = _products(np.concatenate([odds[k] for k in order]), np.array([len(odds[k]) for k in order]), transitions)
+    before, after = [math.nan], [math.nan]
+    v = np.array([1.0, odds[0][0]]) @ inner[0]
+    for k in range(1, len(odds)):
+        before.append(float(v[1] / v[0]))
+        v = (v / v.max()) @ t * [1.0, odds[k][0]] @ inner[k]
+    b = np.ones(2)
+    for k in range(len(odds) - 1, 0, -1):
+        b = t @ ([1.0, odds[k][0]] * (inner[k] @ (b / b.max())))
+        after.append(float(b[1] / b[0]))
+    return before, after[::-1]
+
+
 @dataclass
 class Crf:
     """weights: log-odds of state 1 by feature; transitions[i][j]: score of state j after i."""
@@ -95,24 +135,26 @@ class Crf:
 
     def marginals(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """Probability of state 1 at every token of each sequence of emissions."""
-        parts, owner = [], []
+        parts, owner, before, after = [], [], [], []
         for i, e in enumerate(sequences):
-            for s in range(0, len(e), WINDOW):
-                a, b = max(0, s - OVERLAP), min(len(e), s + WINDOW + OVERLAP)
-                parts.append(e[a:b])
-                owner.append((i, s, s - a, min(WINDOW, len(e) - s)))
+            odds = np.exp(np.clip(e, -30, 30))
+            own = [odds[s: s + WINDOW] for s in range(0, len(e), WINDOW)]
+            parts += own
+            owner += [(i, s) for s in range(0, len(e), WINDOW)]
+            got = _exchanged(own, self.transitions) if len(own) > 1 else ([math.nan] * len(own),) * 2
+            before += got[0]
+            after += got[1]
         out = [np.zeros(len(e)) for e in sequences]
         if not parts:
             return out
         order = sorted(range(len(parts)), key=lambda k: -len(parts[k]))
         lengths = np.array([len(parts[k]) for k in order])
-        odds = np.exp(np.clip(np.concatenate([parts[k] for k in order]), -30, 30))
-        forward, backward = _messages(odds, lengths, self.transitions)
+        forward, backward = _messages(np.concatenate([parts[k] for k in order]), lengths, self.transitions, np.array(before)[order], np.array(after)[order])
         both = forward * backward
         p = both / (1 + both)
         for k, at in zip(order, np.concatenate([[0], np.cumsum(lengths)[:-1]]), strict=True):
-            i, s, skip, n = owner[k]
-            out[i][s: s + n] = p[at + skip: at + skip + n]
+            i, s = owner[k]
+            out[i][s: s + len(parts[k])] = p[at: at + len(parts[k])]
         return out
 
 
@@ -225,15 +267,17 @@ def spans_of(text: str, p: np.ndarray, least: float = SPAN) -> list[dict[str, in
 _KIND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 
-def score(documents: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), most_chars: int = 6_000_000) -> DataFrame:
+def score(documents: DataFrame, model: Crf, doc_id: str = "doc_id", text: str = "text", carry: tuple[str, ...] = (), most_chars: int = 3_000_000) -> DataFrame:
     """One row per row of ``documents``: the ``carry`` columns, doc_id, score, spans (start, end).
 
-    Null and empty texts, and texts without words, score 0 and have no spans. Nothing but the text is
-    an input. Repeated rows are scored each; an empty table gives an empty result.
+    A document has spans if and only if its score is ``SPAN`` or more. Null and empty texts, and texts
+    without words, score 0 and have no spans. Nothing but the text is an input. Repeated rows are scored
+    each; an empty table gives an empty result. Carried columns that are named like a result are left out.
     """
-    chosen = documents.select(*carry, F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("_text"))
-    kinds = ", ".join(f"`{n}` {k}" for n, k in chosen.dtypes if n not in ("_id", "_text"))
-    schema = (kinds + ", " if kinds else "") + f"doc_id {dict(chosen.dtypes)['_id']}, score double, spans array<struct<start: bigint, end: bigint>>"
+    carry = tuple(c for c in carry if c.lower() not in ("doc_id", "score", "spans"))
+    chosen = documents.select(F.col(doc_id).alias("id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    kinds = "".join(f"`{c}` {k}, " for c, (_, k) in zip(carry, chosen.dtypes[2:], strict=True))
+    schema = f"{kinds}doc_id {chosen.dtypes[0][1]}, score double, spans array<struct<start: bigint, end: bigint>>"
     sent = documents.sparkSession.sparkContext.broadcast((model.weights, model.constant, model.transitions))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,15 +285,14 @@ def score(documents: DataFrame, model: Crf, doc_id: str = "doc_id", text: str =
         for batch in batches:
             a, size, texts = 0, 0, []
             for i in range(batch.num_rows):
-                texts.append(batch.column("_text")[i].as_py() or "")
+                texts.append(batch.column(1)[i].as_py() or "")
                 size += len(texts[-1])
                 if size >= most_chars or i == batch.num_rows - 1:
                     marginals = own.marginals([own.emissions(WORDS.findall(t)) for t in texts])
                     scores = [float(p.max()) if len(p) else 0.0 for p in marginals]
                     spans = [spans_of(t, p) if s >= SPAN else [] for t, p, s in zip(texts, marginals, scores, strict=True)]
                     part = batch.slice(a, i + 1 - a)
-                    yield pa.RecordBatch.from_arrays(
-                        [*(part.column(c) for c in carry), part.column("_id"), pa.array(scores, pa.float64()), pa.array(spans, _KIND)], [*carry, "doc_id", "score", "spans"])
+                    yield pa.RecordBatch.from_arrays([*part.columns[2:], part.column(0), pa.array(scores, pa.float64()), pa.array(spans, _KIND)], [*carry, "doc_id", "score", "spans"])
                     a, size, texts = i + 1, 0, []
 
     return chosen.mapInArrow(run, schema)
@@ -262,8 +305,8 @@ def held_out(doc_id) -> "F.Column":
 
 def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS, doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> Crf:
     """Trains on a bounded sample: of the labelled ids that ``documents`` hold with texts of 1 to ``chars``
-    characters, the first ``rows`` of each label in order of a hash. Held-out ids and null labels are left out; an id labelled twice is
-    toxic if either label is. Missing labels give a field that scores all near 0."""
+    characters, the first ``rows`` of each label in order of a hash; of an id with several texts the least.
+    Held-out ids and null labels are left out; an id labelled twice is toxic if either label is. Missing labels give a field that scores all near 0."""
     known = (
         labels.select(F.col(doc_id).alias("id"), F.col(toxic).cast("int").alias("y")).where("id IS NOT NULL AND y IN (0, 1)")
         .where(~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
@@ -274,7 +317,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars:
     ids = known.where("y = 1").orderBy(*order).limit(rows).unionByName(known.where("y = 0").orderBy(*order).limit(rows))
     sample = (
         documents.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(F.broadcast(ids), "id")  # 2 * rows ids at most
-        .where(F.length("t").between(1, chars)).dropDuplicates(["id"]).select("id", "t", "y").collect()
+        .where(F.length("t").between(1, chars)).groupBy("id", "y").agg(F.min("t").alias("t")).collect()
     )
     sample.sort(key=lambda r: r["id"])
     return train([r["t"] for r in sample], [r["y"] for r in sample])
