@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, materialize
 
-ARCHIVE_BYTES, RANGE_BYTES, READ_BYTES = 16 << 20, 8 << 20, 256 << 10
+ARCHIVE_BYTES, RANGE_BYTES, READ_BYTES = 32 << 20, 8 << 20, 256 << 10
+TASKS = 20_000  # that read archives, at most; each takes its ranges one by one
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _CONTROL = re.compile(r"[\x00-\x20\x7f]")
@@ -59,9 +60,10 @@ def record(page_id: int | None, url: str | None, payload: bytes, revisit: bool,
 
 def duplicates(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", html: str = "html") -> DataFrame:
     """(id, sha, refers_to) of the pages that revisit another: of equal payloads of at least
-    ``min_bytes`` the one with the largest id is the response. Payloads are compared by SHA-1 and length."""
+    ``min_bytes`` the one with the largest id is the response; a null id is one only among null ids.
+    Payloads are equal by SHA-256 and length: those made to share a SHA-1 stay apart."""
     keys = pages.select(F.col(page_id).cast("long").alias("id"), F.coalesce(F.col(html), F.lit("")).alias("h")).select(
-        "id", F.sha1("h").alias("sha"), F.octet_length("h").alias("size"))
+        "id", F.sha2("h", 256).alias("sha"), F.octet_length("h").alias("size"))
     first = materialize(
         keys.where(F.col("size") >= min_bytes).groupBy("sha", "size").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n"))
         .where("n > 1 AND refers_to IS NOT NULL").select("sha", "size", "refers_to"), "payloads")
@@ -71,12 +73,13 @@ def duplicates(pages: DataFrame, min_bytes: int = 0, page_id: str = "page_id", h
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "1970-01-01T00:00:00Z", page_id: str = "page_id", url: str = "url", html: str = "html") -> None:
     """Writes a record for every row of ``pages``: null html is an empty payload, a null id or url
-    leaves its header out. Repeated rows are written each. Pages stay where they are read: what
+    leaves its header out. Repeated rows are written each, and alike: those that repeat the response's id
+    and payload are responses too. Pages stay where they are read: what
     repeats is found on digests, and only ids of revisits are joined."""
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).alias("html"))
     again = duplicates(pages, min_bytes, page_id, html)
     again = broadcast_if(again.select(F.col("id").alias("of"), F.col("sha").alias("of_sha"), F.lit(True).alias("revisit"), "refers_to"), again.count(), 100)
-    rows = rows.join(again, F.col("id").eqNullSafe(F.col("of")) & (F.sha1("html") == F.col("of_sha")), "left").select("id", "url", "html", "revisit", "refers_to")
+    rows = rows.join(again, F.col("id").eqNullSafe(F.col("of")) & (F.sha2("html", 256) == F.col("of_sha")), "left").select("id", "url", "html", "revisit", "refers_to")
 
     def archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         members, size = [], 0
@@ -162,11 +165,14 @@ def records_in(file, start: int, end: int, size: int) -> Iterator[dict]:
         pos = got[1]
 
 
-def read_archives(spark: SparkSession, path: str, payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """Every record of the archives under ``path``, as RECORD; payloads null without ``payload``."""
+def read_archives(spark: SparkSession, path: str, payload: bool = True, range_bytes: int = RANGE_BYTES, tasks: int = TASKS) -> DataFrame:
+    """Every record of the archives under ``path``, as RECORD; payloads null without ``payload``.
+
+    Ranges are dealt evenly to ``tasks`` tasks at most. Empty files and folders hold no records.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(range_bytes).cast("long"))).alias("start"))
-    ranges = ranges.repartition(max(1, ranges.count()), "path", "start")
+    ranges = ranges.repartition(max(1, min(tasks, ranges.count())))
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
