@@ -148,6 +148,81 @@ def test_html_shows_what_browsers_show(source, text):
     assert html_text.html_to_text(source) == text
 
 
+def _random_block(rng, depth=0):
+    """Well-formed markup and the lines it stands for: (blank lines asked for around it, markup, lines)."""
+    words = lambda: " ".join(rng.choice(["a", "bc", "déf", "x&y", "<q>"]) for _ in range(rng.randint(1, 5)))
+    escape = lambda t: t.replace("&", "&amp;").replace("<", "&lt;")
+    kind = rng.choice(["p", "div", "h2", "pre", "table", "ul", "ol", "blockquote", "hidden", "hr"] if depth < 3 else ["p", "div"])
+    if kind in ("p", "div", "h2"):
+        t, u = words(), words()
+        return (0 if kind == "div" else 1), f"<{kind}>\n {escape(t)}<br/><b> {escape(u)}</b> </{kind}>", [t, u]
+    if kind == "pre":
+        lines = ["  " * rng.randint(0, 2) + words() for _ in range(rng.randint(1, 3))]
+        return 1, "<pre>" + escape("\n".join(lines)) + "</pre>", lines
+    if kind == "hidden":
+        return 0, f"<div hidden>{words().replace('<', '')}</div><script>'<p>'</script>", []
+    if kind == "hr":
+        return 0, "<hr>", ["---"]
+    if kind == "table":
+        cells = [[words() for _ in range(3)] for _ in range(rng.randint(1, 3))]
+        wide = [max(len(r[k]) for r in cells) for k in range(3)]
+        end = rng.choice(["", "</td>"])
+        markup = "".join("<tr>" + "".join(f"<td>{escape(c)}{end}" for c in r) for r in cells)
+        return 1, f"<table>{markup}</table>", ["  ".join(c.ljust(w) for c, w in zip(r, wide)).rstrip() for r in cells]
+    if kind == "blockquote":
+        _, markup, lines = _random_blocks(rng, depth + 1)
+        return 1, f"<blockquote>{markup}</blockquote>", ["    " + t if t else "" for t in lines]
+    markup, lines = "", []
+    for k in range(rng.randint(1, 3)):
+        t = words()
+        mark = "- " if kind == "ul" else f"{k + 1}. "
+        markup += f"<li>{escape(t)}" + rng.choice(["", "</li>"])
+        lines.append(mark + t)
+    return 1, f"<{kind}>{markup}</{kind}>", lines
+
+
+def _random_blocks(rng, depth=0):
+    gap, markup, lines, seen = 0, "", [], False
+    for _ in range(rng.randint(1, 4)):
+        g, m, own = _random_block(rng, depth)
+        markup += m
+        if own:
+            lines += [""] * (max(gap, g) if seen else 0) + own
+            gap, seen = g, True
+    return gap, markup, lines
+
+
+def test_html_against_random_layouts():
+    rng = random.Random(8)
+    for _ in range(600):
+        _, markup, lines = _random_blocks(rng)
+        assert html_text.html_to_text(markup) == "\n".join(lines), markup
+
+
+@pytest.mark.parametrize("page", [
+    "<table><tr><td>" + "w" * 1000 + "".join(f"<tr><td><td>{i}" for i in range(4000)) + "</table>",
+    "<table><tr>" + "".join(f"<td>{'w' * 40}" for _ in range(200)) + "<td>" + "x<br>" * 8000 + "</table>",
+    "<table><tr>" + "<td colspan=1000>x" * 3000 + "<tr>" + "<td>y" * 3000 + "</table>",
+    "<ul><li>x" * 5000, "<blockquote>x" * 4000, "<table><tr><td>" + "v" * 300 + "<td>" + "<table><tr><td>" * 300 + "z<br>" * 3000,
+])
+def test_html_output_is_linear(page):
+    out = html_text.html_to_text(page)
+    assert len(out) <= 40 * len(page)
+    shown = html_text.html_to_text(page.replace("<td", " <p").replace("<li", " <p").replace("<blockquote", " <p"))
+    assert out.replace("-", "").split() == shown.replace("-", "").split()
+
+
+def test_html_numbers_without_end():
+    nines = "9" * 5000
+    assert html_text.html_to_text(f"a&#{nines};b&#0000000065;<ol start={nines}><li>c</ol><table><td colspan={nines}>d</table>") == "a\ufffdbA\n\n1. c\n\nd"
+
+
+def test_html_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "<p>a", "t", "h", 5, 6)], "page_id long, page string, text string, html string, id int, carry_0 int")
+    got = html_text.extract(df, html="page", carry=("text", "html", "id", "carry_0")).first()
+    assert got.asDict() == {"html": "h", "id": 5, "carry_0": 6, "page_id": 1, "text": "a"}
+
+
 def test_html_table(spark):
     df = clash(spark.createDataFrame([(1, "<p>a"), (2, None), (2, ""), (3, "<div>" * 5000 + "deep"), (4, "<b <i " * 3000)], "page_id long, html string"))
     assert sorted(map(tuple, html_text.extract(df).collect())) == [(1, "a"), (2, ""), (2, ""), (3, "deep"), (4, "")]

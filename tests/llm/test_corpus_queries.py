@@ -47,6 +47,55 @@ def test_nearest_recall(spark, con):
     assert hits >= 0.9 * 10 * len(got)
 
 
+def test_html_text_against_plain_layout(spark, con):
+    """The pages hold no tables: blocks, lists and breaks can be laid out from a parser's events alone."""
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        def __init__(self, page):
+            super().__init__()
+            self.lines, self.line, self.gap, self.hidden, self.mark, self.inside = [], "", 0, 0, "", False
+            self.feed(page)
+            self.close()
+            self.edge(0)
+
+        def edge(self, blank):
+            if self.line.strip():
+                self.lines += [""] * (self.gap if self.lines else 0) + [self.mark + " ".join(self.line.split())]
+                self.gap, self.mark = 0, "  " if self.mark else ""
+            self.line, self.gap = "", max(self.gap, blank)
+
+        def handle_starttag(self, tag, attrs):
+            self.hidden += tag in ("head", "script", "style", "title")
+            if tag in ("p", "h1", "ul"):
+                self.edge(1)
+            elif tag in ("li", "div", "nav", "article", "footer", "body", "br"):
+                self.edge(1 if self.inside and tag != "br" else 0)
+            self.inside = tag == "p" or (self.inside and tag in ("a", "b", "br"))
+            if tag == "li":
+                self.mark = "- "
+
+        def handle_endtag(self, tag):
+            self.hidden -= tag in ("head", "script", "style", "title")
+            if tag in ("p", "h1", "ul"):
+                self.edge(1)
+            elif tag in ("li", "div", "nav", "article", "footer", "body"):
+                self.edge(1 if self.inside else 0)  # it ends an open paragraph
+            self.inside = self.inside and tag in ("a", "b")
+            if tag == "li":
+                self.mark = ""
+
+        def handle_data(self, data):
+            if not self.hidden:
+                self.line += data
+
+    got = {r["page_id"]: r["text"] for r in queries.op4_html_text(spark, "/root/testdata/sf0.01").collect()}
+    pages = con.sql("SELECT page_id, html FROM '/root/testdata/sf0.01/pages.parquet'").fetchall()
+    assert len(got) == len(pages)
+    for i, page in pages:
+        assert got[i] == "\n".join(Plain(page or "").lines), i
+
+
 def test_toxicity_held_out(spark, con):
     got = {r["doc_id"]: r for r in queries.op5_toxicity(spark, "/root/testdata/sf0.1").collect()}
     assert all(0 <= r["score"] <= 1 and bool(r["spans"]) == (r["predicted"] == 1) and r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in got.items())

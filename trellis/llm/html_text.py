@@ -4,7 +4,10 @@ A tree builder with implied tags (open elements are closed by what cannot stand
 rows are opened where missing) feeds a layout pass: block elements begin lines and keep margins, lists
 have markers and indentation, ``pre`` keeps its spaces, table cells are aligned in columns, and what a
 browser would not show (head, scripts, hidden elements) is left out. Everything else is emitted.
-Both passes are loops with explicit stacks, so depth of nesting is no limit.
+Both passes are loops with explicit stacks, so depth of nesting is no limit. Output is linear in the
+page: indentation ends at ``INDENT`` characters, and columns are narrowed, cells wider than theirs moving
+the rest of their row, until a table is at most ``STRETCH`` times as long as what it shows; cells beyond
+``COLUMNS`` columns stand in the last.
 """
 
 from __future__ import annotations
@@ -37,8 +40,18 @@ _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 _ATTRIBUTE = re.compile(r"([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>]*+)))?")
 _COMMENT = re.compile(r"/\*.*?\*/", re.S)
-_START = re.compile(r"(?i)(?:^|\s)start\s*=\s*[\"']?(-?\d+)")
-_SPAN = re.compile(r"(?i)(?:^|\s)colspan\s*=\s*[\"']?(\d+)")
+_START = re.compile(r"(?i)(?:^|\s)start\s*=\s*[\"']?(-?\d{1,9})(?!\d)")
+_SPAN = re.compile(r"(?i)(?:^|\s)colspan\s*=\s*[\"']?0*(\d{1,4})")
+_ZEROS, _BEYOND = re.compile(r"&#0+(?=\d)"), re.compile(r"&#\d{8,}")
+INDENT, STRETCH, COLUMNS = 64, 16, 10_000
+OUT_CHARS = 16 << 20  # of text sent on at a time
+
+
+def unescape(text: str) -> str:
+    """Character references resolved; numbers beyond every character, however long, stand for none."""
+    if "&#" in text:
+        text = _BEYOND.sub("&#1114112", _ZEROS.sub("&#", text))
+    return html.unescape(text)
 
 
 class Node:
@@ -84,7 +97,7 @@ def build(source: str) -> Node:
             cut = re.search(r"<(?:[a-zA-Z/!?])", source[max(pos, end):])
             text = source[pos: max(pos, end) + cut.start()] if cut else text
         if text:
-            stack[-1].children.append(html.unescape(text))
+            stack[-1].children.append(unescape(text))
         if not m:
             return root
         pos = m.end()
@@ -119,7 +132,7 @@ def build(source: str) -> Node:
             over = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(source, pos)
             node = Node(tag, attributes)
             inner = source[pos: over.start() if over else len(source)]
-            node.children.append(html.unescape(inner) if tag in ("textarea", "title") else inner)
+            node.children.append(unescape(inner) if tag in ("textarea", "title") else inner)
             stack[-1].children.append(node)
             pos = over.end() if over else len(source)
             end = max(end, pos)
@@ -137,8 +150,13 @@ class Flow:
         self.line: list[str] = []
         self.gap = 0
         self.space = False
-        self.indents: list[str] = []
+        self.indents = [""]  # of the open elements, each with those around it
         self.marker = ""
+        self.shown = 0  # characters and lines, without the padding of tables inside
+
+    def indent(self, by: int) -> None:
+        top = self.indents[-1]
+        self.indents.append(top + " " * by if len(top) < INDENT else top)
 
     def edge(self, gap: int) -> None:
         """A block's edge: the line ends, and ``gap`` - 1 blank lines at least follow."""
@@ -156,9 +174,10 @@ class Flow:
         if not self.line:
             self.lines += [""] * self.gap
             self.gap = 0
-            self.line.append("".join(self.indents))
+            self.shown += 1
+            self.line.append(self.indents[-1])
             if self.marker:
-                self.line[0] = self.line[0][: len(self.line[0]) - len(self.marker)] + self.marker
+                self.line[0] = self.line[0][: max(0, len(self.line[0]) - len(self.marker))] + self.marker
                 self.marker = ""
             self.space = False
 
@@ -174,15 +193,19 @@ class Flow:
                 self.line.append(" ")
             tail = flat.endswith(" ")
             self.line.append(flat[:-1] if tail else flat)
+            self.shown += len(flat)
             self.space = tail
 
-    def put_lines(self, lines: list[str]) -> None:
+    def put_lines(self, lines: list[str], shown: int | None = None) -> None:
+        """Lines as they are; ``shown`` is what they count for, if not their length."""
+        counted = self.shown + (sum(map(len, lines)) + len(lines) if shown is None else shown)
         for k, s in enumerate(lines):
             if k:
                 self.end_line() if self.line else self.lines.append("")
             if s:
                 self._begin()
                 self.line.append(s)
+        self.shown = counted
 
     def br(self) -> None:
         if self.line:
@@ -200,35 +223,52 @@ class Table:
     def __init__(self) -> None:
         self.rows: list[list[tuple[str, int]]] = []
         self.captions: list[str] = []
+        self.shown = 0
 
     def lines(self) -> list[str]:
         """Rows with cells aligned by column, two spaces apart; a cell of several columns does not widen them."""
         widths: list[int] = []
+        out: list[list[tuple[int, str]]] = []  # lines, as texts and the columns where they begin
         for row in self.rows:
-            at = 0
+            at, lines = 0, []
             for text, span in row:
+                cell = text.split("\n")
                 widths += [0] * (at + span - len(widths))
                 if span == 1:
-                    widths[at] = max(widths[at], *(len(s) for s in text.split("\n")))
-                at += span
-        out = [s for c in self.captions for s in c.split("\n")]
-        for row in self.rows:
-            cells = [t.split("\n") for t, _ in row]
-            for k in range(max((len(c) for c in cells), default=0)):
-                parts, at = [], 0
-                for cell, (_, span) in zip(cells, row, strict=True):
-                    width = sum(widths[at: at + span]) + 2 * (span - 1)
-                    parts.append((cell[k] if k < len(cell) else "").ljust(width))
-                    at += span
-                out.append("  ".join(parts).rstrip(" "))
-        return out
+                    widths[at] = max(widths[at], *map(len, cell))
+                lines += [[] for _ in range(len(cell) - len(lines))]
+                for k, s in enumerate(cell):
+                    if s:
+                        lines[k].append((at, s))
+                at = min(at + span, COLUMNS)
+            out += lines
+        most = STRETCH * (self.shown + sum(map(len, self.rows)) + len(out))
+        widest = max(widths, default=0)
+        while True:
+            begin = [0]
+            for w in widths:
+                begin.append(begin[-1] + (min(w, widest) + 2 if widest else 0))
+            # a line is as long as its last text's place or the texts before it ask for
+            if not widest or sum(begin[line[-1][0]] + sum(len(s) + 2 for _, s in line) for line in out if line) <= most:
+                break
+            widest //= 2
+        return [s for c in self.captions for s in c.split("\n")] + [_set(line, begin) for line in out]
+
+
+def _set(line: list[tuple[int, str]], begin: list[int]) -> str:
+    parts, size = [], 0
+    for at, s in line:
+        pad = max(begin[at] - size, 2 if parts else 0)
+        parts += [" " * pad, s]
+        size += pad + len(s)
+    return "".join(parts).rstrip(" ")
 
 
 def attributes_of(source: str) -> dict[str, str]:
     """Names, lower-cased, and values of a tag's attributes; the first of a name counts."""
     out: dict[str, str] = {}
     for m in _ATTRIBUTE.finditer(source):
-        out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        out.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or ""))
     return out
 
 
@@ -300,11 +340,11 @@ def render(root: Node) -> str:
                 if lists and lists[-1][0] == "ol":
                     marker = f"{lists[-1][1]}. "
                     lists[-1][1] += 1
-                flow.indents.append(" " * len(marker))
+                flow.indent(len(marker))
                 flow.marker = marker
             elif tag in ("dd", "blockquote"):
                 flow.edge(1 if tag == "dd" else 2)
-                flow.indents.append("    ")
+                flow.indent(4)
             elif tag in BLOCKS or tag in ("select", "textarea"):
                 flow.edge(2 if tag in PARAGRAPHS else 1)
             pre += tag in ("pre", "listing", "textarea")
@@ -322,10 +362,12 @@ def render(root: Node) -> str:
             table, flow = tables.pop()
             flow.edge(1)
             if lines := table.lines():
-                flow.put_lines(lines)
+                flow.put_lines(lines, table.shown)
             flow.edge(2)
         elif tag in ("td", "th", "caption") and tables:
-            text = flows.pop().text()
+            inner = flows.pop()
+            text = inner.text()
+            tables[-1][0].shown += inner.shown
             if tag == "caption":
                 tables[-1][0].captions.append(text)
             elif tables[-1][0].rows:
@@ -357,13 +399,21 @@ def extract(pages: DataFrame, page_id: str = "page_id", html: str = "html", carr
     """One row per row of ``pages``: the ``carry`` columns, page_id, text.
 
     Null and empty html give ''. Repeated rows are rendered each; an empty table gives an empty result.
+    Carried columns that are named like a result are left out.
     """
-    chosen = pages.select(*carry, F.col(page_id).alias("_id"), F.col(html).cast("string").alias("_html"))
-    kinds = "".join(f"`{n}` {k}, " for n, k in chosen.dtypes if n not in ("_id", "_html"))
+    carry = tuple(c for c in carry if c.lower() not in ("page_id", "text"))
+    chosen = pages.select(F.col(page_id).alias("id"), F.col(html).cast("string").alias("html"), *(F.col(c).alias(f"carry_{i}") for i, c in enumerate(carry)))
+    kinds = "".join(f"`{c}` {k}, " for c, (_, k) in zip(carry, chosen.dtypes[2:], strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = pa.array([html_to_text(x.as_py()) for x in batch.column("_html")], pa.string())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in carry), batch.column("_id"), texts], [*carry, "page_id", "text"])
-
-    return chosen.mapInArrow(run, f"{kinds}page_id {dict(chosen.dtypes)['_id']}, text string")
+            a, held, texts = 0, 0, []
+            for i in range(batch.num_rows):
+                texts.append(html_to_text(batch.column(1)[i].as_py()))
+                held += len(texts[-1])
+                if held >= OUT_CHARS or i == batch.num_rows - 1:
+                    part = batch.slice(a, i + 1 - a)
+                    yield pa.RecordBatch.from_arrays([*part.columns[2:], part.column(0), pa.array(texts, pa.string())], [*carry, "page_id", "text"])
+                    a, held, texts = i + 1, 0, []
+
+    return chosen.mapInArrow(run, f"{kinds}page_id {chosen.dtypes[0][1]}, text string")
