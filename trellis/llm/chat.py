@@ -59,18 +59,19 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
     """One row per conversation: conv_id, formatted, escaped, turns (read back from ``formatted``).
 
     Rows go by turn (null first), ties by role and text; null roles and texts are empty. A repeated
-    row is a turn of its own. Conversations with a null id form one. Role names are rendered by mark
+    row is a turn of its own. Rows with a null id form one conversation; an empty table gives an empty result. Role names are rendered by mark
     where the template has one, others are spelled out. A conversation is one value of the result, so
     its turns meet in one task.
     """
     empty = lambda c: F.coalesce(F.col(c), F.lit(""))
     gathered = turns.select(F.col(conv_id).alias("conv_id"), F.struct(F.col(turn).alias("turn"), empty(role).alias("role"), empty(text).alias("text")).alias("t"))
     convs = gathered.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("t")), lambda t: F.struct(t["role"], t["text"])).alias("source"))
-    plain = convs.withColumn("plain", render(F.col("source"), False)).withColumn("ok", parse(F.col("plain")) == F.col("source"))
-    out = plain.select("conv_id", "source", (~F.col("ok")).alias("escaped"), F.when(F.col("ok"), F.col("plain")).otherwise(render(F.col("source"), True)).alias("formatted"))
-    back = out.withColumn("turns", parse(F.col("formatted")))
+    plain = convs.withColumn("plain", render(F.col("source"), False)).withColumn("read", parse(F.col("plain"))).withColumn("ok", F.col("read") == F.col("source"))
+    out = plain.select("conv_id", "source", "read", "ok", F.when(F.col("ok"), F.col("plain")).otherwise(render(F.col("source"), True)).alias("formatted"))
+    # what parsed back at once is not parsed again
+    back = out.withColumn("turns", F.when(F.col("ok"), F.col("read")).otherwise(parse(F.col("formatted"))))
     return back.select("conv_id", F.when(F.col("turns") == F.col("source"), F.col("formatted")).otherwise(
-        F.raise_error(F.concat(F.lit("conversation does not round trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))).alias("formatted"), "escaped", "turns")
+        F.raise_error(F.concat(F.lit("conversation does not round trip: "), F.coalesce(F.col("conv_id").cast("string"), F.lit("null"))))).alias("formatted"), (~F.col("ok")).alias("escaped"), "turns")
 
 
 def digest(chats: DataFrame) -> DataFrame:
