@@ -41,13 +41,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
-def domain_of(host: Column) -> Column:
-    """Registered domain: the last two labels (whole host where it has fewer)."""
-    return F.substring_index(host, ".", -2)
+def bare_of(host: Column) -> Column:
+    """The name alone, without user and port: hosts that differ in those share one reputation."""
+    return F.regexp_replace(host, F.lit(r"^.*@|:[0-9]*$"), F.lit(""))
 
 
-def suffix_of(host: Column) -> Column:
-    return F.substring_index(host, ".", -1)
+def suffix_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
+    """The longest of ``suffixes`` (of several labels, like co.uk) that ends the host, else the last label."""
+    out = F.substring_index(host, ".", -1)
+    for s in sorted(set(suffixes), key=lambda s: (len(s), s)):
+        out = F.when((host == s) | host.endswith("." + s), F.lit(s)).otherwise(out)
+    return out
+
+
+def domain_of(host: Column, suffixes: Sequence[str] = ()) -> Column:
+    """Registered domain: the suffix and one label more (the whole host where there is none)."""
+    out = F.substring_index(host, ".", -2)
+    for s in sorted(set(suffixes), key=lambda s: (len(s), s)):
+        out = F.when((host == s) | host.endswith("." + s), F.substring_index(host, ".", -s.count(".") - 2)).otherwise(out)
+    return out
 
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]], value: int) -> Column:
@@ -80,17 +92,17 @@ def _moments(groups: DataFrame) -> tuple[float, float]:
     return (bad_n + 0.5) / (total + 1), (1 - rho) / rho
 
 
-def host_reputation(labelled: DataFrame, host: str = "host", bad: str = "bad", z: float = 1.64) -> DataFrame:
-    """Posterior of every host of ``labelled``: host, n, bad, mean, lower.
+def host_reputation(labelled: DataFrame, host: str = "host", bad: str = "bad", z: float = 1.64, suffixes: Sequence[str] = ()) -> DataFrame:
+    """Posterior of every host of ``labelled``, without user and port: host, n, bad, mean, lower.
 
     ``bad`` is 1, 0 or null (a page without label: its host gets a row, no count). A null host
     counts as ''. Repeated rows count each. An empty table gives an empty result.
     """
     hosts = materialize(
-        labelled.select(F.coalesce(F.col(host), F.lit("")).alias("host"), F.col(bad).cast("long").alias("y"))
+        labelled.select(bare_of(F.coalesce(F.col(host), F.lit(""))).alias("host"), F.col(bad).cast("long").alias("y"))
         .groupBy("host").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("bad")),
         "hosts",
-    ).select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad")
+    ).select("host", domain_of(F.col("host"), suffixes).alias("domain"), suffix_of(F.col("host"), suffixes).alias("suffix"), "n", "bad")
     counts = lambda df, *by: df.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = materialize(counts(hosts, "domain", "suffix"), "domains")
     suffixes = materialize(counts(domains, "suffix"), "suffixes")
@@ -109,12 +121,13 @@ def host_reputation(labelled: DataFrame, host: str = "host", bad: str = "bad", z
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labels: DataFrame | None = None,
-          page_id: str = "page_id", url: str = "url", threshold: float = 0.5, z: float = 1.64) -> DataFrame:
+          page_id: str = "page_id", url: str = "url", threshold: float = 0.5, z: float = 1.64, suffixes: Sequence[str] = ()) -> DataFrame:
     """Verdict of every row of ``pages``: page_id, host, path, rule, verdict, bad_rate, bad_rate_low.
 
     A page that a rule fits takes the rule's verdict and is itself a labelled outcome; ``labels``
     (page_id, bad) adds outcomes of other pages. Null urls and urls without ``://`` have an empty
-    host and path; they share one reputation. Repeated rows are judged each.
+    host and path; they share one reputation. ``suffixes`` are those of several labels, under which
+    domains are registered. Repeated rows are judged each; an empty table gives an empty result.
     """
     p = pages.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
     p = p.select("*", rule_for(F.col("host"), F.col("path"), rules, 0).alias("rule"), rule_for(F.col("host"), F.col("path"), rules, 1).alias("said"))
@@ -122,9 +135,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, labels: Da
     if labels is not None:
         own = labels.groupBy(F.col("page_id").alias("page_id")).agg(F.max("bad").alias("told"))
         seen = seen.join(own, "page_id", "left").select("host", F.coalesce("bad", "told").alias("bad"))
-    seen = host_reputation(seen, z=z)
+    seen = host_reputation(seen, z=z, suffixes=suffixes)
     method = F.when(F.col("lower") > threshold, "block").otherwise("allow")
-    return p.join(seen.select("host", "mean", "lower"), "host", "left").select(
+    return p.join(seen.select(F.col("host").alias("bare"), "mean", "lower"), bare_of(F.col("host")) == F.col("bare"), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("said", method).alias("verdict"),
         F.col("mean").alias("bad_rate"), F.col("lower").alias("bad_rate_low"),
     )
