@@ -35,6 +35,19 @@ def test_reputation_shrinks(spark):
     assert got["new.bad.net"]["mean"] > 0.5 > got["new.good.org"]["mean"] and got["new.bad.net"]["lower"] < got["h1.bad.net"]["lower"] and got["h1.good.org"]["lower"] < 0.5
 
 
+def test_reputation_of_names_suffixes_and_labels(spark):
+    rows = [(i, f"http://u@shop{i % 9}.bad.co.uk:{80 + i}/x") for i in range(90)] + [(100 + i, f"http://h{i % 9}.good.co.uk/" + "x" * 100_000 * (i == 0)) for i in range(90)] + [(500, "http://new.bad.co.uk/"), (501, "http://fresh.co.uk/"), (502, "co.uk"), (503, "http://co.uk"), (504, "http://co.uk:1/")]
+    pages = clash(spark.createDataFrame(rows, "page_id long, url string"))
+    told = clash(spark.createDataFrame([(i, int(i < 90)) for i in range(190)] + [(0, 0), (0, 1), (None, 1), (999, 1)], "page_id long, bad int"))
+    got = {r["page_id"]: r for r in url_reputation.judge(pages, (), told, suffixes=("co.uk",)).collect()}
+    assert len(got) == len(rows) and got[0]["host"] == "u@shop0.bad.co.uk:80" and got[500]["verdict"] == "block" and got[501]["verdict"] == "allow" == got[100]["verdict"]
+    assert got[0]["bad_rate"] == got[9]["bad_rate"] and got[503]["bad_rate"] == got[504]["bad_rate"]
+    apart = {r["page_id"]: r for r in url_reputation.judge(pages, (), told).collect()}
+    assert abs(apart[500]["bad_rate"] - apart[501]["bad_rate"]) < abs(got[500]["bad_rate"] - got[501]["bad_rate"])
+    ties = url_reputation.judge(spark.createDataFrame([(1, "x://a.b/c/d")], "page_id long, url string"), (("a.b/", "block"), ("b/c/", "allow"), ("a.b/c/", "allow"))).first()
+    assert (ties["rule"], ties["verdict"]) == ("a.b/c/", "allow")
+
+
 # 2
 def test_mixing_targets(spark):
     rows = [(1, "a b", "x"), (2, "c", "x"), (3, "d e f g h i", "y"), (4, None, "y"), (5, "", None), (6, "z z z", None)]
@@ -385,6 +398,20 @@ def test_chat_round_trips(spark):
 
 
 # 10
+def test_scratch_deletes_what_is_written_inside(spark):
+    import os
+
+    from trellis.llm import common
+
+    with common.scratch(spark):
+        inside, kept = common.materialize(spark.range(3), "t"), common.materialize(spark.range(3), "t", keep=True)
+        paths = [inside._written.removeprefix("file:"), kept._written.removeprefix("file:")]
+        assert all(map(os.path.exists, paths))
+    assert [os.path.exists(p) for p in paths] == [False, True] and kept.count() == 3
+    common.discard(kept, None, spark.range(1))
+    assert not os.path.exists(paths[1])
+
+
 def test_best_fit_and_bounds():
     rng = np.random.default_rng(1)
     for _ in range(200):

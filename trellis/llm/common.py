@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,23 +17,58 @@ _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder; one of our own only where none is set (local tests)."""
+    """The session's checkpoint folder, which all executors share; one of our own only where none is set
+    and executors are the driver's threads (local tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir names no folder that the executors share")
         sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="trellis-"))
     return sc.getCheckpointDir()
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_scratch: list[list[str]] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at its end: for results that have been written elsewhere by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            _delete(spark, path)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     It cuts the lineage: an executor lost later costs no more than a reread, and what the table
-    holds is computed once however often it is used.
+    holds is computed once however often it is used. The table stays until a ``scratch`` around it ends
+    (not with ``keep``) or it is discarded.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scratch and not keep:
+        _scratch[-1].append(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for t in tables:
+        if t is not None and "_written" in t.__dict__:
+            _delete(t.sparkSession, t._written)
 
 
 def importable(spark: SparkSession) -> None:
