@@ -370,6 +370,10 @@ def test_exact_compares_texts_where_digests_collide(spark, keep):
     try:
         df = clash(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
         got = exact_dedup.exact_duplicates(df, keep, digest=lambda c: (F.length(c) % 3).cast("string")).collect()
+        carried = exact_dedup.exact_duplicates(df.withColumn("text", F.expr("if(text = '' AND doc_id % 2 = 0, null, text)")), keep, digest=lambda c: (F.length(c) % 3).cast("string"), carry=("text", "n", "kept"))
+        assert carried.columns == ["doc_id", "keep_id", "group_size", "kept", "text_sha256", "text", "n"]
+        assert sorted(((r["doc_id"] or 0, r["text"] or "") for r in carried.collect())) == sorted((i or 0, t) for i, t in rows)
+        assert {r["text"] for r in carried.where("doc_id % 2 = 0").collect()} >= {None} and "" not in {r["text"] for r in carried.where("doc_id % 2 = 0").collect()}
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     groups = {}
