@@ -32,7 +32,7 @@ from .common import materialize
 
 WORDS = re.compile(r"[^\W_]+")
 PREFIXES, SUFFIXES = (3, 4, 5), (3, 4)
-WINDOW = 4096
+WINDOW = 512
 #: Bounds of the classifier's sample: labelled rows of each label, and the longest text among them.
 SAMPLE_ROWS, SAMPLE_CHARS = 1000, 20_000
 SPAN = 0.3  # marginal from which a token is offending, and a document toxic
@@ -75,34 +75,38 @@ def _messages(odds: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, be
 
 
 def _products(odds: np.ndarray, lengths: np.ndarray, transitions: np.ndarray) -> np.ndarray:
-    """Of every sequence the product of the step matrices of its tokens but the first, up to a factor."""
-    t = np.exp(transitions)
+    """Of every sequence the product (a, b, c, d by row) of the step matrices of its tokens but the first, up
+    to a factor; ``lengths`` fall."""
+    (t00, t01), (t10, t11) = np.exp(transitions)
     starts, active = _steps(lengths)
-    out = np.tile(np.eye(2), (len(lengths), 1, 1))
+    out = np.zeros((4, len(lengths)))
+    out[[0, 3]] = 1
     for k in range(1, len(active)):
         n = active[k]
+        a, b, c, d = out[:, :n]
         o = odds[starts[:n] + k]
-        step = out[:n] @ t
-        step[:, :, 1] *= o[:, None]
-        out[:n] = step / step.max(axis=(1, 2), keepdims=True)
-    return out
+        out[:, :n] = a * t00 + b * t10, (a * t01 + b * t11) * o, c * t00 + d * t10, (c * t01 + d * t11) * o
+        if k % 4 == 0:  # far from the ends of a double's range
+            out[:, :n] /= out[:, :n].max(0)
+    return (out / out.max(0)).T
 
 
-def _exchanged(odds: list[np.ndarray], transitions: np.ndarray) -> tuple[list[float], list[float]]:
-    """The ratios that the windows of one document get from before and from after them."""
-    t = np.exp(transitions)
-    order = sorted(range(len(odds)), key=lambda k: -len(odds[k]))
-    inner = np.empty((len(odds), 2, 2))
-    inner[order] = _products(np.concatenate([odds[k] for k in order]), np.array([len(odds[k]) for k in order]), transitions)
+def _exchanged(first: list[float], inner: list[list[float]], transitions: np.ndarray) -> tuple[list[float], list[float]]:
+    """The ratios that the windows of one document get from before and from after them, by the odds of
+    their first tokens and the products of the others."""
+    (t00, t01), (t10, t11) = np.exp(transitions).tolist()
     before, after = [math.nan], [math.nan]
-    v = np.array([1.0, odds[0][0]]) @ inner[0]
-    for k in range(1, len(odds)):
-        before.append(float(v[1] / v[0]))
-        v = (v / v.max()) @ t * [1.0, odds[k][0]] @ inner[k]
-    b = np.ones(2)
-    for k in range(len(odds) - 1, 0, -1):
-        b = t @ ([1.0, odds[k][0]] * (inner[k] @ (b / b.max())))
-        after.append(float(b[1] / b[0]))
+    (a, b, c, d), o = inner[0], first[0]
+    r = (b + o * d) / (a + o * c)
+    for (a, b, c, d), o in zip(inner[1:], first[1:], strict=True):
+        before.append(r)
+        r = o * (t01 + r * t11) / (t00 + r * t10)
+        r = (b + r * d) / (a + r * c)
+    r = 1.0
+    for (a, b, c, d), o in zip(inner[:0:-1], first[:0:-1], strict=True):
+        g = o * (c + d * r) / (a + b * r)
+        r = (t10 + t11 * g) / (t00 + t01 * g)
+        after.append(r)
     return before, after[::-1]
 
 
@@ -135,15 +139,12 @@ class Crf:
 
     def marginals(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """Probability of state 1 at every token of each sequence of emissions."""
-        parts, owner, before, after = [], [], [], []
+        parts, owner = [], []
         for i, e in enumerate(sequences):
             odds = np.exp(np.clip(e, -30, 30))
-            own = [odds[s: s + WINDOW] for s in range(0, len(e), WINDOW)]
-            parts += own
+            parts += [odds[s: s + WINDOW] for s in range(0, len(e), WINDOW)]
             owner += [(i, s) for s in range(0, len(e), WINDOW)]
-            got = _exchanged(own, self.transitions) if len(own) > 1 else ([math.nan] * len(own),) * 2
-            before += got[0]
-            after += got[1]
+        before, after = self._between([-(-len(e) // WINDOW) for e in sequences], parts)
         out = [np.zeros(len(e)) for e in sequences]
         if not parts:
             return out
@@ -157,6 +158,18 @@ class Crf:
             out[i][s: s + len(parts[k])] = p[at: at + len(parts[k])]
         return out
 
+    def _between(self, windows: list[int], parts: list[np.ndarray]) -> tuple[list[float], list[float]]:
+        """What every part gets from before and from after it; a sequence is so many parts in a row."""
+        before, after = [math.nan] * len(parts), [math.nan] * len(parts)
+        ends = np.cumsum(windows).tolist()
+        several = [(end - n, end) for n, end in zip(windows, ends, strict=True) if n > 1]
+        if several:
+            order = sorted((k for a, b in several for k in range(a, b)), key=lambda k: -len(parts[k]))
+            inner = dict(zip(order, _products(np.concatenate([parts[k] for k in order]), np.array([len(parts[k]) for k in order]), self.transitions).tolist(), strict=True))
+            for a, b in several:
+                before[a:b], after[a:b] = _exchanged([float(parts[k][0]) for k in range(a, b)], [inner[k] for k in range(a, b)], self.transitions)
+        return before, after
+
 
 def derive_token_features(bags: list[list[str]], toxic: list[int], ratio: float = math.log(20), least: int = 3) -> set[str]:
     """Features whose tokens count as toxic in documents labelled so."""
