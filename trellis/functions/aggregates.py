@@ -34,11 +34,13 @@ COUNTS = frozenset(("count", "regr_count"))
 #: Equal with and without repeated values.
 UNMOVED = frozenset("min max bool_and every bool_or bit_and bit_or any_value".split())
 COLLECTIONS = frozenset("array_agg json_agg jsonb_agg string_agg json_object_agg jsonb_object_agg".split())
-ARITY = {"count": (0, 9), "string_agg": (2, 2), "json_object_agg": (2, 2), "jsonb_object_agg": (2, 2), **{n: (2, 2) for n in ("corr", "covar_pop", "covar_samp", *(k for k in PLAIN if k.startswith("regr_")))}}
+#: Beyond the language: the fraction is the second argument.
+PERCENTILES = frozenset(("percentile_cont", "percentile_disc"))
+ARITY = {"count": (0, 9), **{n: (2, 2) for n in PERCENTILES}, "string_agg": (2, 2), "json_object_agg": (2, 2), "jsonb_object_agg": (2, 2), **{n: (2, 2) for n in ("corr", "covar_pop", "covar_samp", *(k for k in PLAIN if k.startswith("regr_")))}}
 
 
 def known(name: str) -> bool:
-    return name in PLAIN or name in COLLECTIONS or name in ("count", "sum", "avg")
+    return name in PLAIN or name in COLLECTIONS or name in PERCENTILES or name in ("count", "sum", "avg")
 
 
 def sort_keys(terms: list[tuple[Column, bool, bool, T.DataType]]) -> list[Column] | None:
@@ -86,6 +88,13 @@ def aggregate(name: str, args: list[Column], kinds: list[T.DataType], distinct:
         return F.count(held(F.when(given, F.lit(1))))
     if name in COLLECTIONS:
         return _collect(name, args, distinct, held, order, tie)
+    if name in PERCENTILES:
+        if distinct:
+            raise invalid(f"{name} takes no distinct")
+        if name == "percentile_cont":
+            return F.percentile(held(args[0]), args[1])
+        rows = F.array_sort(F.collect_list(held(args[0])))
+        return F.get(rows, F.greatest(F.ceil(F.first(args[1], ignorenulls=True).cast("double") * F.size(rows)) - 1, F.lit(0)).cast("int"))
     args = [held(a) for a in args]
     if name == "sum":
         return F.sum_distinct(args[0]) if distinct else _sum(args[0], kinds[0])

@@ -6,14 +6,15 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
-from typing import TYPE_CHECKING
+from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import invalid, unknown
-from ..functions.scalars import SCALARS
+from ..functions import jsons, search
+from ..functions.scalars import SCALARS, Arg, whole_division
 from ..plans.syntax import Expr
 
 if TYPE_CHECKING:
@@ -123,11 +124,7 @@ class Compiler:
     def _divide(self, e: Expr) -> Column:
         def over(a: Column, b: Column) -> Column:
             kinds = self.type_of(a), self.type_of(b)
-            if all(isinstance(k, INTEGRAL) for k in kinds):
-                wide = "bigint" if any(isinstance(k, T.LongType) for k in kinds) else "int"
-                exact = (a - a % b).cast("decimal(20,0)") / b
-                return exact.cast(wide)
-            return a / b
+            return whole_division(a, b, kinds) if all(isinstance(k, INTEGRAL) for k in kinds) else a / b
         return self._left(e, over)
 
     def _compare(self, e: Expr) -> Column:
@@ -147,6 +144,8 @@ class Compiler:
                 return F.concat(a, b) if isinstance(self.type_of(b), T.ArrayType) else F.array_append(a, b)
             if isinstance(self.type_of(b), T.ArrayType):
                 return F.array_prepend(b, a)
+            if isinstance(self.type_of(a), T.VariantType) or isinstance(self.type_of(b), T.VariantType):
+                return jsons.edited(jsons.merged, *(jsons.text(x, self.type_of(x)) for x in (a, b)))
             return F.concat(a.cast("string"), b.cast("string"))
         return self._left(e, join)
 
@@ -163,14 +162,13 @@ class Compiler:
     def _json(self, e: Expr) -> Column:
         out = self(e.args[0])
         text = e.op in ("->>", "#>>")
-        path = "$"
+        steps: list = []
         for x in e.args[1:]:
             value = json.loads(x.args[0]) if x.op == "raw" else x.args[1] if x.op == "lit" else None
             if value is None:
                 raise invalid(f"{e.op} takes literal keys")
-            for step in value if isinstance(value, list) else [value]:
-                number = isinstance(step, int) or (e.op in ("#>", "#>>") and str(step).isdigit())
-                path += f"[{step}]" if number else "['" + str(step).replace("'", "\\'") + "']"
+            steps += value if isinstance(value, list) else [value]
+        path = jsons.path([s if isinstance(s, int) else str(s) for s in steps], index_digits=e.op in ("#>", "#>>"))
         return F.try_variant_get(self.variant(out), path, "string" if text else "variant")
 
     def _keys(self, e: Expr) -> Column:
@@ -237,7 +235,17 @@ class Compiler:
             return F.coalesce(low, F.lit(False)) & F.coalesce(high, F.lit(False))
         if isinstance(self.type_of(a), T.ArrayType):
             return F.size(F.array_except(b, a)) == 0
-        return _json_contains(*(F.to_json(x) if isinstance(self.type_of(x), T.VariantType) else x for x in (a, b)))
+        sides = e.args if e.op == "@>" else e.args[::-1]
+        known = [self.constant(x) for x in sides]
+        texts = [jsons.text(c, self.type_of(c)) for c in (a, b)]
+        # a literal document is parsed once
+        if known[1] is not None and known[0] is None:
+            part = json.loads(known[1][0]) if isinstance(known[1][0], str) else known[1][0]
+            return jsons.tested(lambda x: jsons.holds(x, part), texts[0])
+        if known[0] is not None and known[1] is None:
+            whole = json.loads(known[0][0]) if isinstance(known[0][0], str) else known[0][0]
+            return jsons.tested(lambda y: jsons.holds(whole, y), texts[1])
+        return jsons.tested(jsons.holds, *texts)
 
     def _ranges(self, e: Expr) -> Column:
         a, b = map(self, e.args)
@@ -259,9 +267,31 @@ class Compiler:
         return F.hypot(a["x"] - b["x"], a["y"] - b["y"])
 
     def _search(self, e: Expr) -> Column:
-        """All words of the query occur in the text, by words and case-blind."""
-        text, wanted = (F.filter(F.split(F.lower(self(x)), r"[^\p{L}\p{N}]+"), lambda w: w != "") for x in e.args)
-        return F.size(F.array_except(wanted, text)) == 0
+        """A text fulfils a query: all words of a text, or what a query function makes of it."""
+        text, query = e.args
+        if text.op == "call" and text.args[1] == "to_tsvector" and text.args[2]:
+            text = text.args[2][-1]
+        kind = "plainto_tsquery"
+        if query.op == "call" and query.args[1] in search.QUERIES and query.args[2]:
+            kind, query = query.args[1], query.args[2][-1]
+        known = self.constant(query)
+        if known is not None and isinstance(known[0], str):
+            return search.matches(self(text), kind, known[0])
+        if kind != "plainto_tsquery":
+            raise invalid(f"{kind} takes a literal")
+        return search.all_words(self(text), self(query))
+
+    def constant(self, e: Expr) -> tuple[Any] | None:
+        """The value of a literal or parameter, in a tuple of one; None for anything else."""
+        if e.op == "lit":
+            return (e.args[1],)
+        if e.op == "$param" and e.args[0] in self.params:
+            return (self.params[e.args[0]],)
+        if e.op == "neg" and (inner := self.constant(e.args[0])) is not None and isinstance(inner[0], (int, float)):
+            return (-inner[0],)
+        if e.op == "array" and all(self.constant(x) is not None for x in e.args):
+            return ([self.constant(x)[0] for x in e.args],)
+        return self.constant(e.args[0]) if e.op == "::" else None
 
     def _concat_ws(self, e: Expr) -> Column:
         sep, *rest = e.args
@@ -304,8 +334,11 @@ class Compiler:
 
     def _call(self, e: Expr) -> Column:
         schema, name, args = e.args
-        columns = [self(x) for x in args]
-        return self.scope.call(schema, name, columns)
+        planned = []
+        for x in args:
+            known = self.constant(x)
+            planned.append(Arg(self(x), self.type_of, known is not None, known[0] if known else None))
+        return self.scope.call(schema, name, planned)
 
     def _agg(self, e: Expr) -> Column:
         return self.scope.aggregate(e)
@@ -318,27 +351,13 @@ def _before(a: Column, b: Column, strictly: bool) -> Column:
     return a["lower"].isNull() | b["upper"].isNull() | (a["lower"] < b["upper"]) | ((a["lower"] == b["upper"]) & a["lower_inc"] & b["upper_inc"])
 
 
-def _json_contains(a: Column, b: Column) -> Column:
-    """Containment of JSON texts: a Pandas UDF, as it recurses."""
-    @F.pandas_udf("boolean")
-    def contains(left, right):
-        def holds(x, y):
-            if isinstance(x, dict) and isinstance(y, dict):
-                return all(k in x and holds(x[k], v) for k, v in y.items())
-            if isinstance(x, list):
-                return all(any(holds(i, j) for i in x) for j in (y if isinstance(y, list) else [y]))
-            return type(x) is type(y) and x == y
-        return left.combine(right, lambda x, y: None if x is None or y is None else holds(json.loads(x), json.loads(y)))
-    return contains(a, b)
-
-
-def call_builtin(name: str, args: list[Column]) -> Column:
+def call_builtin(name: str, args: list[Arg]) -> Column:
     if name not in SCALARS:
         raise unknown(f"no function {name}")
-    build, least, most = SCALARS[name]
+    build, least, most, told = SCALARS[name]
     if not least <= len(args) <= most:
         raise unknown(f"no function {name} takes {len(args)} arguments")
-    return build(*args)
+    return build(*args) if told else build(*(a.column for a in args))
 
 
 #: Which method compiles which operator.

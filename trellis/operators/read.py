@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..errors import invalid, unknown
 from ..functions import aggregates
+from ..functions.scalars import Arg
 from ..plans.resolve import Node
 from ..plans.syntax import Expr, Order
 from .expressions import Compiler, call_builtin
@@ -102,10 +103,10 @@ class Scope:
             out[key] = compiler(x)
         return list(out.items())
 
-    def call(self, schema: str | None, name: str, args: list[Column]) -> Column:
+    def call(self, schema: str | None, name: str, args: list[Arg]) -> Column:
         f = self.reader.session.catalog.function(name, schema, len(args), table=False)
         if f is not None:
-            return self.reader.session.call(f, args)
+            return self.reader.session.call(f, self.reader.session.bound(f, [a.column for a in args]))
         return call_builtin(name, args)
 
     def aggregate(self, e: Expr) -> Column:
@@ -269,7 +270,7 @@ class Reader:
         return F.transform(F.array_sort(F.collect_list(row)), lambda s: s["v"])
 
     def _aggregate(self, inner: Scope, alias: str, e: Expr) -> Column:
-        _, name, args, where, distinct, order = e.args
+        schema, name, args, where, distinct, order = e.args
         members = _Members(inner, alias)
         compiler = members.compiler()
         rows = [a for a in args if not (a.op == "." and a.args == (alias,))]
@@ -278,6 +279,11 @@ class Reader:
         if condition is not None:
             condition = F.coalesce(condition, F.lit(False))
         terms = [(compiler(x), d, n) for x, d, n in order]
+        own = self.session.catalog.aggregate(name, schema)
+        if own is not None:
+            if len(columns) != own.arity or distinct or order:
+                raise invalid(f"aggregate {name} takes {own.arity} arguments, no order and no distinct")
+            return own.build(*(c if condition is None else F.when(condition, c) for c in columns))
         kinds = [inner.type_of(c) for c in columns] if name == "sum" else []
         return aggregates.aggregate(name, columns, kinds, distinct, condition, terms, self._ties(inner))
 

@@ -70,7 +70,8 @@ class Writer:
         self.plans: list[dict] = []
         self.shapes: dict[int, Shape] = {}
 
-    def run(self, read_back: bool) -> list | None | DataFrame:
+    def run(self, read_back: bool) -> DataFrame | list | None:
+        """Writes, and plans what is read back: rows as a frame, or none."""
         node = self.root
         if node.function is not None:
             raise QueryError("WRITE_FORBIDDEN_FUNCTION_ROOT", "a function's rows are not written")
@@ -387,13 +388,13 @@ class Writer:
         self._put(node, "update", joined.select(*outs))
 
     def _put(self, node: Node, what: str, df: DataFrame) -> None:
-        from ..plans.session import logical_text, plan_text
+        from ..plans.session import logical_text, plan_tree
 
         self.session.put(node.relation, df)
         if self.want_sql:
             self.texts.append({"path": list(node.path), what: logical_text(df)})
         if self.want_plan:
-            self.plans.append({"path": list(node.path), "plan": plan_text(df)})
+            self.plans.append({"path": list(node.path), "plan": plan_tree(df)})
 
     # phase two
     def _deletes(self, node: Node, rows: list[Row], _parent) -> None:
@@ -472,7 +473,7 @@ class Writer:
             outs.append(out.alias(c))
         self._put(node, "update", renamed.select(*outs))
         # the usual read: rows that no longer match are written but not returned
-        return self._texts(node, Reader(self.session, self.params).root(node)) if read_back else None
+        return Reader(self.session, self.params).root(node) if read_back else None
 
     def _literal(self, node: Node, c: str, value: Any, kind: T.DataType):
         if isinstance(value, (dict, list)):
@@ -485,14 +486,7 @@ class Writer:
             return F.lit(value.isoformat(sep=" ")).cast(kind)
         return F.lit(value).cast(kind)
 
-    def _texts(self, node: Node, df: DataFrame) -> list:
-        import json
-        from decimal import Decimal
-
-        from ..streaming.rows import json_rows
-        return [json.loads(s, parse_float=Decimal) for s in json_rows(df, node.request.select.op not in ("star", "object"))]
-
-    def _read_back(self, node: Node, rows: list[Row]) -> list:
+    def _read_back(self, node: Node, rows: list[Row]) -> DataFrame | list:
         """The written roots in the payload's order, through the request's own select."""
         identity = self.identity(node) or tuple(node.columns)
         if not rows:
@@ -504,7 +498,7 @@ class Writer:
         base = reader.scan(node)
         same = _all([F.col(f"`{node.prefix}{c}`").eqNullSafe(F.col(f"`{c}#id`")) for c in identity])
         base = base.join(order, same).drop(*(f"{c}#id" for c in identity))
-        return self._texts(node, reader.root(_without(node, where=None, limit=None, offset=None, order_by=[]), base, "#row"))
+        return reader.root(_without(node, where=None, limit=None, offset=None, order_by=[]), base, "#row")
 
 
 def _without(node: Node, **changes) -> Node:

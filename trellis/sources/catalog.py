@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..errors import QueryError, invalid, unknown
+from ..functions.scalars import DENIED
 
 #: Schemas that requests never reach.
 HIDDEN_SCHEMAS = frozenset(("pg_catalog", "information_schema"))
@@ -62,7 +63,7 @@ class Relation:
     computed: dict[str, Computed] = field(default_factory=dict)
     schema: str = "main"
     view: bool = False
-    not_indexed: tuple[tuple[str, ...], ...] = ()  # column lists that joins may not use
+    indexes: tuple[tuple[str, ...], ...] | None = None  # beside those of unique sets; None: every column is
 
     @property
     def key(self) -> tuple[str, str]:
@@ -85,6 +86,7 @@ class Parameter:
     type: str
     default: Any = None
     has_default: bool = False
+    variadic: bool = False  # the last one: an array, of the arguments that are left
 
 
 @dataclass(frozen=True)
@@ -105,18 +107,35 @@ class Function:
     schema: str = "main"
 
     def accepts(self, positional: int | None, names: Iterable[str] = ()) -> bool:
+        needed = [p for p in self.parameters if not (p.has_default or p.variadic)]
         if positional is not None:
-            return sum(not p.has_default for p in self.parameters) <= positional <= len(self.parameters)
+            return len(needed) <= positional and (self.variadic or positional <= len(self.parameters))
         given = set(names)
-        return given <= {p.name for p in self.parameters} and all(p.has_default or p.name in given for p in self.parameters)
+        return given <= {p.name for p in self.parameters} and all(p.name in given for p in needed)
+
+    @property
+    def variadic(self) -> bool:
+        return bool(self.parameters) and self.parameters[-1].variadic
+
+
+@dataclass(frozen=True)
+class Aggregate:
+    """An aggregate of one's own: a Column over Columns, which skips nulls (rows that a filter leaves out
+    come as nulls)."""
+
+    name: str
+    build: Callable[..., Column]
+    arity: int = 1
+    schema: str = "main"
 
 
 class Catalog:
-    def __init__(self, relations: Iterable[Relation], functions: Iterable[Function] = (), search_path: tuple[str, ...] = ("main",), max_depth: int = 6, denied: Iterable[str] = (), check_indexes: bool = True):
+    def __init__(self, relations: Iterable[Relation], functions: Iterable[Function] = (), search_path: tuple[str, ...] = ("main",), max_depth: int = 6, denied: Iterable[str] = DENIED, check_indexes: bool = True, aggregates: Iterable[Aggregate] = ()):
         self.relations = {r.key: r for r in relations}
         self.functions: dict[tuple[str, str], list[Function]] = {}
         for f in functions:
             self.functions.setdefault((f.schema, f.name), []).append(f)
+        self.aggregates = {(a.schema, a.name): a for a in aggregates}
         self.search_path, self.max_depth, self.denied, self.check_indexes = search_path, max_depth, frozenset(denied), check_indexes
 
     def relation(self, name: str, schema: str | None = None) -> Relation:
@@ -143,6 +162,11 @@ class Catalog:
                 return fit[0]
         return None
 
+    def aggregate(self, name: str, schema: str | None) -> Aggregate | None:
+        if name in self.denied:
+            raise unknown(f"aggregate {name} is not allowed")
+        return next((a for s in ((schema,) if schema else self.search_path) if (a := self.aggregates.get((s, name)))), None)
+
     def link(self, child: Relation, child_columns: tuple[str, ...], parent: Relation, parent_columns: tuple[str, ...]) -> bool:
         """Whether the join is to one row; raises where no declared key backs it."""
         pairs = set(zip(child_columns, parent_columns, strict=True))
@@ -162,7 +186,8 @@ class Catalog:
         raise QueryError("JOIN_MISSING_INDEX", f"no foreign key or unique constraint backs {child.name}({', '.join(child_columns)})")
 
     def _indexed(self, child: Relation, columns: tuple[str, ...]) -> None:
-        if self.check_indexes and any(set(c) == set(columns) for c in child.not_indexed):
+        """Joins read a child by an index that begins with their columns, in any order."""
+        if self.check_indexes and child.indexes is not None and not any(set(i[: len(columns)]) == set(columns) for i in (*child.indexes, *child.unique_sets())):
             raise QueryError("JOIN_MISSING_INDEX", f"{child.name}({', '.join(columns)}) is not indexed")
 
     def export(self, spark: SparkSession) -> str:
@@ -172,7 +197,7 @@ class Catalog:
             columns = [{"name": f.name, "type": f.dataType.simpleString(), "nullable": r.field_of(f.name).nullable} for f in r.load(spark).schema]
             keys = [{"columns": list(k.columns), "target": k.target, "target_columns": list(k.target_columns)} for k in r.foreign_keys]
             out.append({"schema": r.schema, "name": r.name, "columns": columns, "primary_key": list(r.primary_key), "unique": {k: list(v) for k, v in r.unique.items()}, "foreign_keys": keys, "computed": sorted(r.computed)})
-        functions = [{"schema": f.schema, "name": f.name, "parameters": [{"name": p.name, "type": p.type, "optional": p.has_default} for p in f.parameters], "returns": f.returns, "table": f.table} for fs in self.functions.values() for f in fs]
+        functions = [{"schema": f.schema, "name": f.name, "parameters": [{"name": p.name, "type": p.type, "optional": p.has_default, "variadic": p.variadic} for p in f.parameters], "returns": f.returns, "table": f.table} for fs in self.functions.values() for f in fs]
         return json.dumps({"relations": out, "functions": functions}, indent=1)
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,6 +55,23 @@ def array_chunks(rows: Iterable[str], held: int = HELD_BYTES) -> Iterator[str]:
     yield "".join(buffer)
 
 
+def object_chunks(body: dict[str, object], result: Iterable[str] | None, held: int = HELD_BYTES) -> Iterator[str]:
+    """An object in pieces: the members of ``body``, then the rows of ``result``."""
+    text = json.dumps(body, default=_number, ensure_ascii=False)
+    if result is None:
+        yield text
+        return
+    yield text[:-1] + (", " if body else "") + '"result": '
+    yield from array_chunks(result, held)
+    yield "}"
+
+
+def _number(v: object) -> object:
+    if isinstance(v, Decimal):
+        return int(v) if v == v.to_integral_value() else float(v)
+    return str(v)
+
+
 def values(df: DataFrame, scalar: bool = False) -> Iterator[object]:
     """Rows as Python values, for encodings that keep types."""
     for r in df.toLocalIterator(prefetchPartitions=True):
