@@ -291,6 +291,7 @@ class Writer:
                 else:
                     change = set(self._insertable(node)) - fixed - row.unlinked
                     self._fill(node, row)
+                    self._fill_parts(node, row)
                 allowed = node.request.update_columns
                 updates.append((row, change if allowed is None else change & set(allowed)))
             elif mode in UPDATING:
@@ -319,6 +320,14 @@ class Writer:
                 default = f.default() if callable(f.default) else f.default
                 row.values[c] = read_value(default, kinds[c], c, f) if isinstance(default, (str, int, float, bool, list, dict)) else default
 
+    def _fill_parts(self, node: Node, row: Row) -> None:
+        """Sub-fields that a prepared row leaves out are null; those that no key names stay."""
+        for column, *sub in self.shapes[node.number].columns.values():
+            if sub and not (column in row.given and not _partial(row.values.get(column))):
+                if not _partial(row.values.get(column)):
+                    row.values[column] = Parts()
+                row.values[column].setdefault("#".join(sub), None)
+
     def _apply_inserts(self, node: Node, rows: list[Row]) -> None:
         if not rows:
             return
