@@ -223,8 +223,23 @@ def _array_length(a: Column, dim: Column | None = None) -> Column:
     return F.when(F.size(a) > 0, F.size(a))
 
 
-def _part(field: Column, x: Column) -> Column:
-    return F.date_part(field, x).cast("double")
+def _epoch(x: Column) -> Column:
+    """Seconds since 1970, by the clock that the value shows."""
+    return F.unix_date(x.cast("date")).cast("double") * 86_400 + F.hour(x) * 3600 + F.minute(x) * 60 + F.extract(F.lit("SECOND"), x).cast("double")
+
+
+#: Fields of dates and times beyond Spark's, or of another count: fixed values of the language.
+PARTS: dict[str, Callable[[Column], Column]] = {
+    "dow": lambda x: F.dayofweek(x) - 1, "isodow": lambda x: F.weekday(x) + 1, "doy": F.dayofyear, "isoyear": lambda x: F.extract(F.lit("YEAROFWEEK"), x), "epoch": _epoch,
+    "century": lambda x: F.ceil(F.year(x) / 100), "millennium": lambda x: F.ceil(F.year(x) / 1000), "decade": lambda x: F.floor(F.year(x) / 10),
+    "milliseconds": lambda x: F.extract(F.lit("SECOND"), x).cast("double") * 1000, "microseconds": lambda x: F.extract(F.lit("SECOND"), x).cast("double") * 1_000_000,
+}
+
+
+def _part(field: Arg, x: Arg) -> Column:
+    name = str(field.told("a field")).lower()
+    c = x.column.cast("timestamp_ntz") if isinstance(x.kind, T.DateType) else x.column
+    return (PARTS[name](c) if name in PARTS else F.date_part(F.lit(name), c)).cast("double")
 
 
 #: By name: what builds it, fewest and most arguments, and whether it takes them as Arg.
@@ -250,7 +265,7 @@ for _names, _f in {
     "starts_with": F.startswith, "mod": lambda a, b: a % b, "power pow": F.pow, "atan2": F.atan2, "array_append": F.array_append,
     "array_prepend": lambda x, a: F.array_prepend(a, x), "array_cat": F.concat, "array_remove": F.array_remove,
     "array_position": lambda a, x: F.nullif(F.array_position(a, x), F.lit(0)), "date_trunc": lambda f, x: F.call_function("date_trunc", f, x),
-    "date_part extract": _part, "nullif": F.nullif, "string_to_array": lambda s, d: F.split(s, F.concat(F.lit(r"\Q"), d, F.lit(r"\E"))),
+    "nullif": F.nullif, "string_to_array": lambda s, d: F.split(s, F.concat(F.lit(r"\Q"), d, F.lit(r"\E"))),
     "gcd": _gcd, "regexp_count": F.regexp_count,
 }.items():
     _add(_names, _f, 2)
@@ -318,6 +333,7 @@ _add("lower_inf", lambda r: r["lower"].isNull(), 1)
 _add("upper_inf", lambda r: r["upper"].isNull(), 1)
 _add("lower", _bound("lower", F.lower), 1, told=True)
 _add("upper", _bound("upper", F.upper), 1, told=True)
+_add("date_part extract", _part, 2, told=True)
 _add("div", _div, 2, told=True)
 _add("trunc", _trunc, 1, 2, told=True)
 _add("to_char", _to_char, 2, told=True)

@@ -19,7 +19,7 @@ FOLDED = frozenset("and or + - * / ^ % | & -> ->> #> #>> || ||? ?? <= >= < > = <
 UNARY = frozenset("- not ~ is_null is_true is_false is_not_null is_not_true is_not_false |/ ||/".split())
 BINARY = frozenset("like ilike ~ ~* :: && <-> -|- << >> @> <@ ? ?| ?& &< &> ?: @@".split())
 COMPARISONS = frozenset("<= >= < > = <> is_distinct_from is_not_distinct_from".split())
-#: Words and second spellings of operators.
+#: Words and second spellings of operators: fixed values of the query language.
 WORDS = {
     "add": "+", "sub": "-", "mul": "*", "div": "/", "pow": "^", "mod": "%", "bor": "|", "band": "&", "json_get": "->", "json_get_text": "->>",
     "json_path": "#>", "json_path_text": "#>>", "dot": ".", "concat": "||", "concat_coalesce": "||?", "ifnull": "??", "lte": "<=", "gte": ">=",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from .catalog import Catalog, Computed, Field, ForeignKey, Function, Parameter, Relation, parquet
+from .catalog import Aggregate, Catalog, Computed, Field, ForeignKey, Function, Parameter, Relation, parquet
 
 
 def catalog(sf_dir: str) -> Catalog:
@@ -31,6 +31,8 @@ def catalog(sf_dir: str) -> Catalog:
         declared("conversations", ("conv_id", "turn")),
         Relation("big_orders", lambda spark: spark.read.parquet(f"{sf_dir}/orders.parquet").where("o_totalprice >= 200000"), view=True,
                  foreign_keys=(ForeignKey(("o_custkey",), "customer", ("c_custkey",)),)),
+        Relation("profile", lambda spark: spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.struct(F.col("c_name").alias("name"), F.col("c_mktsegment").alias("segment")).alias("who"), F.col("c_nationkey").alias("nation")), ("id",),
+                 fields={"who": Field(), "nation": Field(default=0, has_default=True)}, indexes=()),
         Relation("region", lambda spark: spark.read.parquet(f"{sf_dir}/region.parquet").where("r_regionkey < 2"), ("r_regionkey",), schema="few"),
     ]
     functions = [
@@ -39,6 +41,9 @@ def catalog(sf_dir: str) -> Catalog:
                  "SELECT * FROM {orders} WHERE o_custkey = custkey AND o_totalprice >= least", table=True, relation="orders"),
         Function("order_counts", (Parameter("status", "string"),), "custkey bigint, n bigint",
                  "SELECT o_custkey, count(*) FROM {orders} WHERE o_orderstatus = status GROUP BY o_custkey", table=True),
+        Function("label", (Parameter("a", "string"),), "string", "upper(a)"),
+        Function("label", (Parameter("a", "string"), Parameter("b", "string")), "string", "concat(a, '/', b)"),
+        Function("joined", (Parameter("by", "string"), Parameter("parts", "array<string>", variadic=True)), "string", "array_join(parts, by)"),
         Function("with_tax", (Parameter("price", "double"), Parameter("rate", "double", 0.2, True)), "double", "price * (1 + rate)"),
     ]
-    return Catalog(relations, functions)
+    return Catalog(relations, functions, aggregates=[Aggregate("spread", lambda x: F.max(x) - F.min(x))])
