@@ -333,6 +333,9 @@ class Writer:
             return
         r = node.relation
         table = self.session.table(r)
+        identity = self.identity(node)
+        # rows with a whole identity are known to be new
+        new = bool(identity) and all(row.values.get(c) is not None for row in rows for c in identity)
         for row in rows:
             self._fill(node, row)
         for c in node.columns:
@@ -349,7 +352,7 @@ class Writer:
         for columns in r.unique_sets():
             keys = [tuple(_plain(row.values.get(c)) for c in columns) for row in rows]
             whole = [k for k in keys if None not in k]
-            if len(set(whole)) < len(whole) or self._existing(node, rows, columns, []):
+            if len(set(whole)) < len(whole) or (not (new and columns == identity) and self._existing(node, rows, columns, [])):
                 raise QueryError("PG_UNIQUE_VIOLATION", f"{r.name}({', '.join(columns)}) is not unique")
         new = self._frame(node, [row.values for row in rows], list(node.columns))
         self._put(node, "insert", table.unionByName(new))
