@@ -225,6 +225,15 @@ def test_html_output_is_linear(page):
     assert out.replace("-", "").split() == shown.replace("-", "").split()
 
 
+def test_html_trees_in_linear_time():
+    import time
+
+    began = time.process_time()
+    for page in ("<b><table><tr><td>" + "<div>" * 40_000 + "</b>" * 40_000 + "x", "<ul><li>" + "<i>" * 40_000 + "<dd>x</dd>" * 10_000, "<p><table><td>" + "<span>" * 40_000 + "<div></div>" * 10_000):
+        html_text.html_to_text(page)
+    assert time.process_time() - began < 20
+
+
 def test_html_numbers_without_end():
     nines = "9" * 5000
     assert html_text.html_to_text(f"a&#{nines};b&#0000000065;<ol start={nines}><li>c</ol><table><td colspan={nines}>d</table>") == "a\ufffdbA\n\n1. c\n\nd"

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -64,29 +65,28 @@ class Node:
 def build(source: str) -> Node:
     """The tree of a page; its leaves are strings."""
     root = Node("#root")
-    stack, count = [root], {}
+    stack: list[Node] = [root]
+    at: dict[str, list[int]] = {}  # where the open elements of each tag stand in the stack
 
     def push(tag: str, attributes: str = "") -> None:
         node = Node(tag, attributes)
         stack[-1].children.append(node)
+        at.setdefault(tag, []).append(len(stack))
         stack.append(node)
-        count[tag] = count.get(tag, 0) + 1
 
     def pop_to(k: int) -> None:
         while len(stack) > k:
-            count[stack.pop().tag] -= 1
+            at[stack.pop().tag].pop()
+
+    def innermost(tags) -> int:
+        return max((at[t][-1] for t in tags if at.get(t)), default=0)
 
     def close(tags, stop) -> None:
-        if not any(count.get(t) for t in tags):
-            return
-        top = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in stop:
-                break
-            if stack[k].tag in tags:
-                top = k
-        if top is not None:
-            pop_to(top)
+        """Closes the outermost of ``tags`` inside the innermost of ``stop``."""
+        bound = innermost(stop)
+        first = [own[k] for t in tags if (own := at.get(t)) and (k := bisect_right(own, bound)) < len(own)]
+        if first:
+            pop_to(min(first))
 
     pos, end = 0, source.rfind(">") + 1
     while True:
@@ -107,22 +107,18 @@ def build(source: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            elif tag == "p" and not count.get("p"):
+            elif tag == "p" and not at.get("p"):
                 stack[-1].children.append(Node("p"))
-            elif count.get(tag):
-                stop = {"table"} if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else () if tag == "table" else CELL_SCOPE
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k].tag == tag:
-                        pop_to(k)
-                        break
-                    if stack[k].tag in stop:
-                        break
+            elif at.get(tag):
+                stop = {"table"} if tag in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else () if tag == "table" else CELL_SCOPE - {tag}
+                if at[tag][-1] > innermost(stop):
+                    pop_to(at[tag][-1])
             continue
         if tag in CLOSES:
             close(*CLOSES[tag])
-        if tag in BLOCKS and count.get("p") and tag not in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup"):
+        if tag in BLOCKS and at.get("p") and tag not in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption", "option", "optgroup"):
             close({"p"}, CELL_SCOPE)
-        if tag in ("td", "th", "tr") and not count.get("table"):
+        if tag in ("td", "th", "tr") and not at.get("table"):
             continue  # table parts outside a table have no box
         if tag in ("td", "th") and stack[-1].tag != "tr":
             push("tr")
@@ -138,7 +134,7 @@ def build(source: str) -> Node:
             end = max(end, pos)
         else:
             push(tag, attributes)
-            if attributes.endswith("/") and (tag in ("svg", "math") or count.get("svg") or count.get("math")):
+            if attributes.endswith("/") and (tag in ("svg", "math") or at.get("svg") or at.get("math")):
                 pop_to(len(stack) - 1)
 
 
