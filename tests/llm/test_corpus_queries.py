@@ -1,11 +1,13 @@
 """The registered queries against DuckDB, or against brute force where SQL cannot express them."""
 import collections
 import hashlib
+import random
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from trellis.llm import near_dedup, packing, queries
 
 SF = "/root/testdata/sf0.001"
@@ -156,7 +158,7 @@ def test_pipeline_against_brute_force(spark, con):
     assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == total
 
 
-def _kept_by_brute_force(texts, k, percent):
+def _components_by_brute_force(texts, k, percent):
     import re
 
     sets = {}
@@ -176,7 +178,11 @@ def _kept_by_brute_force(texts, k, percent):
             if 100 * shared >= percent * (len(sets[a]) + len(sets[b]) - shared):
                 x, y = sorted((find(a), find(b)))
                 parent[y] = x
-    return {d for d in sets if find(d) == d}
+    return {d: find(d) for d in sets}
+
+
+def _kept_by_brute_force(texts, k, percent):
+    return {d for d, c in _components_by_brute_force(texts, k, percent).items() if c == d}
 
 
 def test_near_family_is_one_component(spark):
@@ -223,6 +229,79 @@ def test_pipeline_null_and_repeated_ids(spark):
     assert rows(p.mix_sources(spark, docs, "")) == sorted((i or 0, t) for i, t in texts)
 
 
+def _messy(spark, n=240):
+    """Documents with null and repeated ids, repeated rows, null, empty and long texts, and columns that clash."""
+    rng = random.Random(11)
+    words = [f"{a}{b}" for a in "bcdfglmnprst" for b in ("ana", "elo", "iru", "oma")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(12, 40))) for _ in range(n)]
+    texts = [t + " IDIOT " + rng.choice(words) if i % 5 == 0 else t for i, t in enumerate(texts)]
+    rows = [(i, t, "en", rng.choice(["web", "books", None]), len(t)) for i, t in enumerate(texts)]
+    rows += [(i + n, t + " more", "en", "web", 0) for i, t in enumerate(texts[1:40:3])]  # near copies
+    rows += [(7 if i % 2 else None, t, None, "books", None) for i, t in enumerate(texts[2:30:4])]  # copies under other ids
+    rows += rows[3:9] + [(None, None, None, None, None), (5001, None, "", "", 0), (5002, "", "en", "web", 0), (5003, " \t", "en", "web", 0), (5004, "bana elo " * 40_000, "en", None, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    labels = [(i, int(i % 5 == 0)) for i in range(n)] + [(None, 1), (3, None)]
+    extra = {k: F.lit(1) for k in ("row", "sha", "run", "id", "size", "score", "spans", "keep_id", "group", "bin", "open", "offset", "taken", "rep", "carry_0", "pass")}
+    return rows, docs.withColumns(extra), labels
+
+
+def test_pipeline_stages_on_messy_documents(spark, tmp_path):
+    import corpus_pipeline as p
+
+    rows, docs, labels = _messy(spark)
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder, columns = str(tmp_path), ["doc_id", "text", "lang", "source", "n_chars"]
+    plain = lambda df: sorted(map(repr, map(tuple, df.collect())))
+    kept = p.remove_toxic(spark, docs, folder)
+    assert kept.columns == columns and plain(kept) == sorted(repr(r) for r in rows if "IDIOT" not in (r[1] or ""))
+    once = p.remove_copies(spark, docs, folder)
+    groups = collections.defaultdict(list)
+    for r in rows:
+        groups[r[1] or ""].append(r)
+    got = once.collect()
+    assert once.columns == columns and len(got) == len(groups)
+    for r in got:
+        own = groups[r["text"] or ""]
+        assert tuple(r) in own and r["doc_id"] == min((x[0] for x in own if x[0] is not None), default=None)
+    few = p.remove_near_copies(spark, docs, folder).collect()
+    numbered = dict(enumerate(r[1] for r in rows))
+    component = _components_by_brute_force(numbered, 5, 80)
+    members = collections.defaultdict(list)
+    for k, c in component.items():
+        members[c].append(rows[k])
+    assert sorted(-1 if r["doc_id"] is None else r["doc_id"] for r in few) == sorted(min((x[0] for x in m if x[0] is not None), default=-1) for m in members.values())
+    assert all(tuple(r) in rows for r in few)
+    mixed = p.mix_sources(spark, docs, folder)
+    times, had = collections.Counter(map(tuple, mixed.collect())), collections.Counter(rows)
+    assert mixed.columns == columns and set(times) <= set(rows) and all(times[r] <= 3 * had[r] for r in times)
+    assert all(times[r] == had[r] for r in rows if not (r[1] or "").split())
+    sizes = collections.Counter()
+    for r in rows:
+        sizes[r[3]] += len((r[1] or "").split())
+    taken = collections.Counter()
+    for r, n in times.items():
+        taken[r[3]] += n * len((r[1] or "").split())
+    assert sum(taken.values()) <= sum(sizes.values())
+    packed = p.pack_sequences(spark, docs, folder).collect()
+    assert collections.Counter(r["doc_id"] for r in packed if r["piece"] == 0) == collections.Counter(r[0] for r in rows)
+    fill = collections.Counter()
+    for r in sorted(packed, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == fill[r["sequence_id"]]
+        fill[r["sequence_id"]] += r["length"]
+    assert max(fill.values()) <= 4096
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline as p
+
+    _, docs, _ = _messy(spark, 3)
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs.limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in p.STAGES:
+        assert stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).count() == 0
+    assert p.run(spark, str(tmp_path)).count() == 0
+
+
 def test_sha_of_texts(spark, con):
     rows = queries.op8_exact_dedup(spark, SF).collect()
     texts = dict(con.sql("SELECT doc_id, text FROM documents").fetchall())
