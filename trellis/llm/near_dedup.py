@@ -2,9 +2,10 @@
 
 1. A scan gives every document the fingerprint of its shingle set, its size and a MinHash signature.
    Documents with equal sets are one class, found by a partial aggregate.
-2. Every class enters ``trees`` sorted orders: it is keyed in each by ``depth`` MinHash values of the
+2. Every class enters ``trees`` sorted orders: it is sorted in each by ``depth`` MinHash values of the
    tree, then by the rest of the signature, and the orders are range-partitioned and sorted together.
-   Classes with a common prefix of ``depth`` values stand next to each other; that run is a region. In a
+   Neighbours with a common prefix, of one value at least, are candidates. Where classes are dense the
+   prefixes of neighbours are longer: classes with ``depth`` values in common are a region, and in a
    region of up to ``leaf`` classes each is a candidate for each. A larger region is cut at the
    shortest common prefixes of neighbours, which is the same as going deeper there and only there, until
    its parts are leaves; and the region also elects hubs, the classes most similar on average to a
@@ -38,6 +39,7 @@ from .shingles import fingerprint, mix64, shingle_sets
 POSITIONS, TREES, DEPTH, LEAF, HUBS, SPREAD = 96, 16, 4, 16, 4, 32
 PART = 20_000  # classes of a region that are worked off together
 SKETCH = 1 << 18  # counters that tell rare shingles from common ones
+RULE_OUT = 5  # standard deviations of its estimate below the threshold from which a pair is ruled out
 OPEN = 2.0  # est of the pairs (a, a) that note open classes
 _rng = np.random.default_rng(7)
 _MULT = (_rng.integers(0, 1 << 32, POSITIONS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
@@ -80,24 +82,27 @@ def _signed(batch: pa.RecordBatch, rows: list[int], sets: list[np.ndarray]) -> p
 
 
 def _enter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per class and tree: tree, its region's key, the sort key inside the region."""
+    """One row per class and tree: tree, the values that it is sorted by first, the sort key after them."""
     for batch in batches:
         for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)):
             n = part.num_rows
             sig = np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(n, POSITIONS)
             low = (sig & np.uint32(0xFF)).astype(np.uint8)
             for t in range(TREES):
-                key = sig[:, t * DEPTH:(t + 1) * DEPTH]
-                region = key[:, 0].astype(np.uint64)
-                for j in range(1, DEPTH):
-                    region = (region * np.uint64(0x9E3779B97F4A7C15) ^ (region >> np.uint64(29))) + key[:, j]
+                lead = sig[:, t * DEPTH:(t + 1) * DEPTH].astype(">u4")
                 turned = np.roll(low, -(t + 1) * DEPTH, axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, t, np.int32)), pa.array(region.view(np.int64)), part.column("rep"), pa.array([r.tobytes() for r in turned], pa.binary())],
+                    [pa.array(np.full(n, t, np.int32)), _binary(lead), part.column("rep"), _binary(turned)],
                     ["tree", "region", "rep", "order"],
                 )
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    rows = np.ascontiguousarray(rows)
+    width = rows.shape[1] * rows.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, (len(rows) + 1) * width, width, dtype=np.int32)), pa.py_buffer(rows)])
+
+
 def _leaves(order: np.ndarray) -> list[tuple[int, int]]:
     """Cuts sorted rows into runs of at most LEAF, at the shortest common prefixes of neighbours."""
     differ = order[1:] != order[:-1]
@@ -154,16 +159,29 @@ def _candidates(least: float):
 
         # the first and the last region may go on in other partitions
         last, reps, orders, cut_off = None, [], [], True
+        end: tuple | None = None  # the last row of the batch before
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            tree, region = batch.column("tree").to_numpy(), batch.column("region").to_numpy()
-            cut = np.flatnonzero((tree[1:] != tree[:-1]) | (region[1:] != region[:-1])) + 1
-            edges = [0, *cut.tolist(), n]
-            rep, order = batch.column("rep").to_numpy(), batch.column("order")
+            tree, rep, order = batch.column("tree").to_numpy(), batch.column("rep").to_numpy(), batch.column("order")
+            lead = np.frombuffer(b"".join(batch.column("region").to_pylist()), ">u4").reshape(n, DEPTH)
+            same = (tree[1:] == tree[:-1]) & (lead[1:] == lead[:-1]).all(1)
+            # neighbours that share fewer leading values than a region: the order is as shallow as it need be there
+            near = np.flatnonzero((tree[1:] == tree[:-1]) & (lead[1:, 0] == lead[:-1, 0]) & ~same)
+            pairs = [(rep[near], rep[near + 1], order.take(pa.array(near)), order.take(pa.array(near + 1)))]
+            if end is not None and end[0] == tree[0] and end[1][0] == lead[0, 0] and (end[1] != lead[0]).any():
+                pairs.append((np.array([end[2]]), rep[:1], pa.array([end[3]], pa.binary()), order.slice(0, 1)))
+            end = tree[-1], lead[-1], rep[-1], order[n - 1].as_py()
+            for a, b, x, y in pairs:
+                if len(a):
+                    x, y = (np.frombuffer(b"".join(v.to_pylist()), np.uint8).reshape(len(a), POSITIONS) for v in (x, y))
+                    est = (x == y).mean(1)
+                    good = (est >= least) & (a != b)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[good]), pa.array(np.maximum(a, b)[good]), pa.array(est[good])], ["a", "b", "est"])
+            edges = [0, *(np.flatnonzero(~same) + 1).tolist(), n]
             for a, b in zip(edges, edges[1:], strict=False):
-                key = (tree[a], region[a])
+                key = (tree[a], lead[a].tobytes())
                 if key != last:
                     if len(reps) > 1 or (reps and cut_off):
                         yield from emit(reps, orders, cut_off)
@@ -311,8 +329,8 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, d
     signed = materialize(docs.mapInArrow(_signer(shingle), "doc_id long, n_shingles long, fp binary, sig binary"), "signed")
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("members")), "classes")
-    est_least = percent / 100 - 4 * (percent / 100 * (1 - percent / 100) / POSITIONS) ** 0.5
-    entered = classes.select("rep", "sig").mapInArrow(_enter, "tree int, region long, rep long, order binary")
+    est_least = percent / 100 - RULE_OUT * (percent / 100 * (1 - percent / 100) / POSITIONS) ** 0.5
+    entered = classes.select("rep", "sig").mapInArrow(_enter, "tree int, region binary, rep long, order binary")
     forest = entered.repartitionByRange("tree", "region", "order").sortWithinPartitions("tree", "region", "order", "rep")
     found = materialize(forest.mapInArrow(_candidates(est_least), "a long, b long, est double").groupBy("a", "b").agg(F.max("est").alias("est")), "candidates")
     pairs, opened = found.where("a <> b"), found.where("a = b").select(F.col("a").alias("rep"))
