@@ -396,3 +396,32 @@ def test_many_writes_do_not_deepen_a_plan(s, spark, tmp_path):
     for i in range(40):
         s.execute({"query": {"relation": "chain", "write_mode": "upsert"}, "data": [{"id": i, "name": str(i)}], "returns": "none", "stats": True})
     assert len(s.table(s.catalog.relation("chain"))._jdf.queryExecution().optimizedPlan().toString().splitlines()) < 200 and s.count({"relation": "chain"}) == 40
+
+
+def test_frames_as_payload(s, spark):
+    new = spark.range(10, 2010).select(F.col("id").cast("string").alias("id"), F.concat(F.lit("c"), "id").alias("name"), F.lit(1).alias("unknown"))
+    got = s.execute({"query": {"relation": "chain"}, "data": new, "stats": True, "returns": "none"})
+    assert got["stats"][0]["inserted"] == 2000 and s.count({"relation": "chain"}) == 2001
+    both = spark.createDataFrame([(1, "one"), (11, "eleven"), (5000, "new")], "id int, name string")
+    got = s.execute({"query": {"relation": "chain", "write_mode": "upsert"}, "data": both, "stats": True})
+    assert sorted(r["name"] for r in got["result"]) == ["eleven", "new", "one"] and (got["stats"][0]["inserted"], got["stats"][0]["updated"]) == (1, 2) and s.count({"relation": "chain"}) == 2002
+    got = s.execute({"query": {"relation": "chain", "write_mode": "update-existing"}, "data": both.withColumn("id", F.col("id") * 11), "stats": True})
+    assert sorted(r["id"] for r in got["result"]) == [11, 121] and got["stats"][0]["updated"] == 2 and s.count({"relation": "chain"}) == 2002
+    # numbers, defaults and the columns left out
+    rooms = spark.createDataFrame([("X1", "1.25"), ("X2", None)], "code string, price string")
+    s.execute({"query": {"relation": "room", "select": {"code": dot("code"), "price": dot("price")}}, "data": rooms, "returns": "none", "stats": True})
+    got = s.execute({"relation": "room", "where": ["like", dot("code"), "X%"], "select": ["*~"], "order_by": [dot("code")]})
+    assert [(r["code"], r["price"], r["hotel_id"]) for r in got] == [("X1", Decimal("1.25"), None), ("X2", None, None)] and len({r["id"] for r in got} | {1, 2, 3, 4}) == 6
+    hotel = spark.createDataFrame([("H",)], "name string")
+    assert s.execute({"query": {"relation": "hotel", "select": {"name": dot("name"), "stars": dot("stars")}}, "data": hotel}) == [{"name": "H", "stars": 2}]
+
+
+@pytest.mark.parametrize(("q", "rows", "code"), [
+    ({"relation": "chain"}, "select 1 as id, 'x' as name", "PG_UNIQUE_VIOLATION"), ({"relation": "chain"}, "select 5 as id, 'Blue' as name", "PG_UNIQUE_VIOLATION"), ({"relation": "chain"}, "values (5, 'a'), (5, 'b') t(id, name)", "PG_UNIQUE_VIOLATION"),
+    ({"relation": "chain"}, "select null as id, 'x' as name", "PG_NOT_NULL_VIOLATION"), ({"relation": "chain"}, "select 'x' as id, 'x' as name", "TRANSACTION_ERROR"), ({"relation": "chain", "write_mode": "upsert"}, "select 'x' as name", "WRITE_FORBIDDEN"),
+    ({"relation": "chain", "write_mode": "upsert"}, "select 9 as id, 'Blue' as name", "PG_UNIQUE_VIOLATION"), ({"relation": "hotel", "join": ROOM_JOIN}, "select 9 as id, 'x' as name, array('r') as rooms", "WRITE_FORBIDDEN"),
+])
+def test_frames_are_refused(s, spark, q, rows, code):
+    with pytest.raises(QueryError) as e:
+        s.execute({"query": q, "data": spark.sql(rows if rows.startswith("select") else "select * from " + rows)})
+    assert e.value.code == code and s.count({"relation": "chain"}) == 1

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -81,6 +81,8 @@ class Writer:
             raise QueryError("WRITE_FORBIDDEN", "the root is readonly")
         if mode in ("update", "delete"):
             return self._where_driven(node, read_back)
+        if isinstance(self.data, DataFrame):
+            return self._frame_written(node, self.data, read_back)
         if not isinstance(self.data, list):
             raise invalid("data is an array of rows")
         rows = self._rows(node, self.data)
@@ -408,6 +410,81 @@ class Writer:
         if self.want_plan:
             self.plans.append({"path": list(node.path), "plan": plan_tree(df)})
 
+    # a frame as payload: rows of one relation, of any number
+    def _frame_written(self, node: Node, data: DataFrame, read_back: bool) -> DataFrame | None:
+        """Inserts, upserts or updates the rows of a frame, whose columns are the select's keys. The rows stay
+        where they are: they meet the table in joins on the identity. Values are cast to the columns' types.
+        What is read back is in no order."""
+        mode, r, shape, kinds = node.write_mode, node.relation, self.shapes[node.number], self._kinds(node)
+        if mode not in ("insert", "upsert", "update-existing") or any(k in shape.children and node.children[shape.children[k]].write_mode != "readonly" for k in data.columns):
+            raise QueryError("WRITE_FORBIDDEN", "a frame is inserted, upserted or updated into one relation")
+        given = {path[0]: key for key, path in shape.columns.items() if key in data.columns}
+        if any(len(shape.columns[key]) > 1 for key in given.values()):
+            raise QueryError("WRITE_FORBIDDEN", "a frame writes whole columns")
+        identity = self.identity(node)
+        lacking = [c for c in identity if c not in given and not r.field_of(c).identity]
+        if lacking or (mode != "insert" and any(c not in given for c in identity)) or (read_back and not identity):
+            raise QueryError("WRITE_FORBIDDEN", f"the identity of {r.name} is not in the frame")
+        table, columns = self.session.table(r), list(node.columns)
+        new = data.select(*(F.col(f"`{key}`").cast(kinds[c]).alias(c) for c, key in given.items()))
+        if mode != "update-existing":
+            if any(r.field_of(c).identity for c in columns):
+                new = _numbered(new, "#at")
+            new = new.select(*(self._prepared(node, new, c, given, kinds[c]).alias(c) for c in columns))
+        if self.session.spark.sparkContext.getCheckpointDir() is not None:
+            new = new.checkpoint()  # read several times, and maybe never the same twice
+        stat = {"path": [], "table": f"{r.schema}.{r.name}", "submitted": new.count(), "inserted": 0, "updated": 0, "deleted": 0}
+        self.stats.append(stat)
+        for c in new.columns:
+            if (not r.field_of(c).nullable or c in r.primary_key) and not r.field_of(c).generated and not new.where(F.col(f"`{c}`").isNull()).isEmpty():
+                raise QueryError("PG_NOT_NULL_VIOLATION", f"{r.name}.{c} is null")
+        sets = [u for u in dict.fromkeys((identity, *r.unique_sets())) if u and set(u) <= set(new.columns)]
+        for u in sets:
+            if not new.dropna(subset=list(u)).groupBy(*u).count().where("count > 1").isEmpty():
+                raise QueryError("PG_UNIQUE_VIOLATION", f"{r.name}({', '.join(u)}) is in the payload twice")
+        old = None
+        if mode != "insert":
+            change = set(given) if mode == "update-existing" else set(self._insertable(node))
+            allowed = node.request.update_columns
+            change = (change if allowed is None else change & set(allowed)) - set(identity) - set(r.primary_key)
+            side = new.select(*identity, *(F.col(f"`{c}`").alias(f"#{c}") for c in change), F.lit(True).alias("#hit"))
+            stat["updated"] = new.join(table, list(identity), "left_semi").count()
+            old = table.join(side, list(identity), "left").select(*(F.when(F.col("`#hit`"), F.col(f"`#{c}`")).otherwise(F.col(f"`{c}`")).alias(c) if c in change else F.col(f"`{c}`") for c in columns))
+        if mode == "update-existing":
+            self._put(node, "update", old)
+        else:
+            fresh = new if mode == "insert" else new.join(table, list(identity), "left_anti")
+            for u in sets:
+                if (mode == "insert" or u != identity) and not fresh.join(table, list(u), "left_semi").isEmpty():
+                    raise QueryError("PG_UNIQUE_VIOLATION", f"{r.name}({', '.join(u)}) is not unique")
+            stat["inserted"] = stat["submitted"] - stat["updated"]
+            if stat["updated"]:
+                self._put(node, "update", old)
+            self._put(node, "insert", self.session.table(r).unionByName(fresh.select(*columns)))
+        if not read_back:
+            return None
+        reader = Reader(self.session, self.params)
+        ids = new.select(*(F.col(f"`{c}`").alias(f"{c}#id") for c in identity))
+        base = reader.scan(node)
+        base = base.join(ids, _all([F.col(f"`{node.prefix}{c}`") == F.col(f"`{c}#id`") for c in identity]), "left_semi")
+        return reader.root(_without(node, where=None, limit=None, offset=None, order_by=[]), base)
+
+    def _prepared(self, node: Node, new: DataFrame, c: str, given: dict[str, str], kind: T.DataType):
+        """A column of a whole new row: what the frame has, or a number, or the default."""
+        f = node.relation.field_of(c)
+        allowed = node.request.insert_columns
+        has = c in given and (allowed is None or c in allowed or c in self.identity(node))
+        out = F.col(f"`{c}`") if has else F.lit(None).cast(kind)
+        if f.identity:
+            top = self.session.table(node.relation).agg(F.max(c)).first()[0] or 0
+            top = max(top, new.agg(F.max(c)).first()[0] or 0) if has else top
+            return F.coalesce(out, (F.lit(top) + F.col("`#at`")).cast(kind))
+        if f.has_default:
+            value = f.default() if callable(f.default) else f.default
+            default = self._literal(node, c, value, kind)
+            return default if not has else out if f.nullable else F.coalesce(out, default)
+        return out
+
     # phase two
     def _deletes(self, node: Node, rows: list[Row], _parent) -> None:
         for alias, child in node.children.items():
@@ -513,6 +590,14 @@ class Writer:
         return reader.root(_without(node, where=None, limit=None, offset=None, order_by=[]), base, "#row")
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """Numbers rows from 1 without gaps: in partitions, and after the rows of those before."""
+    placed = df.withColumn("#id", F.monotonically_increasing_id()).withColumn("#part", F.shiftright("`#id`", 33))
+    before = Window.orderBy("`#part`").rowsBetween(Window.unboundedPreceding, -1)  # one row a partition
+    parts = placed.groupBy("`#part`").count().select("`#part`", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("#ahead"))
+    return placed.join(F.broadcast(parts), "#part").select(*(F.col(f"`{c}`") for c in df.columns), (F.col("`#ahead`") + F.col("`#id`").bitwiseAND((1 << 33) - 1) + 1).alias(name))
+
+
 def _without(node: Node, **changes) -> Node:
     """The node with other clauses; what it reads back is chosen by identity."""
     from dataclasses import replace

@@ -481,6 +481,22 @@ add_function("w22_many_rows", _after("nation", {"query": {**_NATION, "write_mode
              "SELECT * FROM nation WHERE n_nationkey < 10 UNION ALL SELECT k::INT, 'N' || k, (k % 5)::INT FROM range(10, 3010) r(k)")
 
 
+def _framed(mode: str, keys: str) -> Callable[[Session], DataFrame]:
+    """Orders written from a frame, which never passes the driver."""
+    def run(s: Session) -> DataFrame:
+        rows = s.frame({"relation": "orders", "where": [">", dot("o_totalprice"), 300000], "select": {"o_orderkey": ["*", dot("o_orderkey"), 2], "o_orderstatus": "X", "o_custkey": 1}})
+        s.execute({"query": {"relation": "orders", "write_mode": mode, "select": {k: dot(k) for k in keys.split()}}, "data": rows, "returns": "none", "stats": True})
+        return s.frame({"relation": "orders", "select": ["*~"]})
+    return run
+
+
+add_function("w22_frame_upsert", _framed("upsert", "o_orderkey o_custkey o_orderstatus"),
+             "WITH n AS (SELECT o_orderkey * 2 AS k FROM orders WHERE o_totalprice > 300000) SELECT o_orderkey, CASE WHEN k IS NULL THEN o_custkey ELSE 1 END AS o_custkey, CASE WHEN k IS NULL THEN o_orderstatus ELSE 'X' END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders LEFT JOIN n ON k = o_orderkey "
+             "UNION ALL SELECT k, 1, 'X', NULL, NULL, NULL FROM n WHERE k NOT IN (SELECT o_orderkey FROM orders)")
+add_function("w22_frame_update", _framed("update-existing", "o_orderkey o_orderstatus"),
+             "SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey IN (SELECT o_orderkey * 2 FROM orders WHERE o_totalprice > 300000) THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with their largest orders, the orders' lines summed, and their nation's name."""
     return session(spark, sf_dir).frame({
