@@ -423,6 +423,11 @@ def test_scratch_deletes_what_is_written_inside(spark):
     assert [os.path.exists(p) for p in paths] == [False, True] and kept.count() == 3
     common.discard(kept, None, spark.range(1))
     assert not os.path.exists(paths[1])
+    with common.scratch(spark):
+        with common.scratch(spark):
+            outer = common.materialize(spark.range(3), "t", keep=True)
+        assert outer.count() == 3
+    assert not os.path.exists(outer._written.removeprefix("file:"))
 
 
 def test_best_fit_and_bounds():

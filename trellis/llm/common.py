@@ -52,13 +52,13 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back.
 
     It cuts the lineage: an executor lost later costs no more than a reread, and what the table
-    holds is computed once however often it is used. The table stays until a ``scratch`` around it ends
-    (not with ``keep``) or it is discarded.
+    holds is computed once however often it is used. The table stays until the ``scratch`` around it ends
+    (with ``keep`` the one around that) or it is discarded.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if _scratch and not keep:
-        _scratch[-1].append(path)
+    if len(_scratch) > keep:
+        _scratch[-1 - keep].append(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._written = path
     return out

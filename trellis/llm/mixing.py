@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize, n_words
+from .common import broadcast_if, materialize, n_words, scratch
 
 TIME_RANGES = 8192  # ranges of virtual time below 2, where the cut can be
 
@@ -67,6 +67,12 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     rows that share both are documents of their own, which only ``carry`` tells apart. An empty table
     gives an empty result.
     """
+    with scratch(documents.sparkSession):
+        return _mixed(documents, weights, epochs, budget, seed, doc_id, text, source, carry)
+
+
+def _mixed(documents: DataFrame, weights: tuple[int, ...], epochs: int, budget: float, seed: str, doc_id: str, text: str, source: str, carry: tuple[str, ...]) -> DataFrame:
+    """The result reads the table that is kept, no others."""
     tie = F.xxhash64(F.col(text))
     base = materialize(documents.select(
         *(F.col(c).alias(f"_carry_{c}") for c in carry), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), n_words(F.col(text)).alias("size"), tie.alias("tie"),
@@ -81,7 +87,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int
     rows = base.join(few, F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn("row", F.monotonically_increasing_id())
     queue = running(rows, ["ord", "key", F.col("doc_id").asc_nulls_last(), "tie", "row"], "size")
     queued = materialize(queue.select(
-        *(f"_carry_{c}" for c in carry), "doc_id", "source", "size", "source_size", "target", "ord", (F.col("_upto_size") - F.col("before")).alias("upto")), "queues")
+        *(f"_carry_{c}" for c in carry), "doc_id", "source", "size", "source_size", "target", "ord", (F.col("_upto_size") - F.col("before")).alias("upto")), "queues", keep=True)
 
     finish = lambda p: (F.col("source_size") * F.lit(p) + F.col("upto")).cast("double") / F.col("target")
     slot = lambda f: F.least(F.floor(f * (TIME_RANGES // 2)), F.lit(TIME_RANGES)).cast("int")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, materialize
+from .common import broadcast_if, materialize, scratch
 from .components import components
 from .shingles import fingerprint, mix64, shingle_sets
 
@@ -324,9 +324,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, d
     (component_id null, kept). Rows that repeat an id are each judged by
     their own text; an empty table gives an empty result.
     """
-    spark = documents.sparkSession
+    with scratch(documents.sparkSession):
+        return _components_of(documents, shingle, percent, doc_id, text)
+
+
+def _components_of(documents: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """The result reads the tables that are kept, no others."""
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = materialize(docs.mapInArrow(_signer(shingle), "doc_id long, n_shingles long, fp binary, sig binary"), "signed")
+    signed = materialize(docs.mapInArrow(_signer(shingle), "doc_id long, n_shingles long, fp binary, sig binary"), "signed", keep=True)
     named = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = materialize(named.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.max("n_shingles").alias("n"), F.count(F.lit(1)).alias("members")), "classes")
     est_least = percent / 100 - RULE_OUT * (percent / 100 * (1 - percent / 100) / POSITIONS) ** 0.5
@@ -358,7 +363,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, percent: int = 80, d
     links = links.union(materialize(_links(met, sets, percent), "links-3"))
     label = materialize(components(links).select(F.col("node").alias("rep"), "component"), "labels")
     of_class = classes.select("fp", "rep", "members").join(label, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    of_class = materialize(of_class, "classes-labelled")
+    of_class = materialize(of_class, "classes-labelled", keep=True)
     component = F.when(F.col("doc_id").isNull() | (F.col("n_shingles") == 0), F.col("doc_id")).otherwise(F.col("component_id"))
     return (
         signed.select("doc_id", "n_shingles", "fp").join(of_class, "fp", "left")
