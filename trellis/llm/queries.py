@@ -122,6 +122,16 @@ k AS (SELECT doc_id, sum(size)::BIGINT AS taken FROM f WHERE served <= (SELECT s
 SELECT u.doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM u LEFT JOIN k USING (doc_id)
 """
 
+#: The layout of pages without tables, preformatted text and nested lists, as the given ones are.
+_OP4 = r"""
+WITH a AS (SELECT page_id, regexp_replace(coalesce(html, ''), '(?is)<!--.*?(-->|$)|<(head|script|style)\b.*?(</(head|script|style)>|$)|<![^>]*>', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, regexp_replace(regexp_replace(h, '[ \t\n\r\f]+', ' ', 'g'), '<[a-zA-Z/!?][^>]*$', '') AS h FROM a),
+c AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(h, '</?(p|h1|ul|article)\b[^>]*>', chr(2), 'gi'), '<li\b[^>]*>', chr(1) || '- ', 'gi'), '</?(li|div|nav|footer|body|html|br)\b[^>]*>', chr(1), 'gi') AS h FROM b),
+d AS (SELECT page_id, regexp_replace(h, '<[a-zA-Z/][^>]*>', '', 'g') AS h FROM c),
+e AS (SELECT page_id, regexp_replace(regexp_replace(h, '[ \x01]*\x02[ \x01\x02]*', chr(10) || chr(10), 'g'), ' *\x01[ \x01]*', chr(10), 'g') AS h FROM d)
+SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(trim(h, ' ' || chr(10)), '&lt;', '<'), '&gt;', '>'), '&nbsp;', chr(160)), '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;?', '&', 'g') AS text FROM e
+"""
+
 #: A query of quadratic cost, for small tables: all pairs of documents that share a shingle.
 _OP6 = r"""
 WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -167,4 +177,4 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM e JOIN g USING (conv_id) GROUP BY conv_id
 """
 
-SQL = {"op1_url_reputation": _OP1, "op2_source_mixing": _OP2, "op6_minhash_near_dedup": _OP6, "op7_warc": _OP7, "op8_exact_dedup": _OP8, "op9_chat_format": _OP9}
+SQL = {"op1_url_reputation": _OP1, "op2_source_mixing": _OP2, "op4_html_text": _OP4, "op6_minhash_near_dedup": _OP6, "op7_warc": _OP7, "op8_exact_dedup": _OP8, "op9_chat_format": _OP9}
