@@ -398,6 +398,12 @@ add("a7_object_agg", {**_NATION, "join": {"s": {"relation": "supplier", "on": {"
     "SELECT n_nationkey AS k, CASE WHEN count(s_suppkey) > 0 THEN '{' || string_agg('\"' || s_name || '\":' || s_suppkey, ',' ORDER BY s_suppkey) || '}' END AS o, to_json(list(s_suppkey ORDER BY s_suppkey) FILTER (WHERE s_suppkey IS NOT NULL))::VARCHAR AS a FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1")
 
 
+add("o4_null_orders_in_arrays", {**_OF_NATION, "select": {"k": dot("n_nationkey"), **{n: ["agg", "array_agg", [dot("c", "c_custkey")], {"order_by": [[o, ["call", "nullif", dot("c", "c_mktsegment"), "BUILDING"]], dot("c", "c_custkey")]}]
+                                                                                      for n, o in (("first", "asc-nulls-first"), ("last", "asc"), ("down", "desc"), ("down_last", "desc-nulls-last"))}}},
+    "SELECT n_nationkey AS k, " + ", ".join(f"to_json(list(c_custkey ORDER BY nullif(c_mktsegment, 'BUILDING') {o}, c_custkey) FILTER (WHERE c_custkey IS NOT NULL))::VARCHAR AS {n}" for n, o in (("first", "ASC NULLS FIRST"), ("last", "ASC NULLS LAST"), ("down", "DESC NULLS LAST"), ("down_last", "DESC NULLS LAST")))
+    + " FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+
+
 # the function library by groups
 def call(name: str, *args: Any) -> list:
     return ["call", name, *args]
@@ -481,6 +487,18 @@ add_function("w22_many_rows", _after("nation", {"query": {**_NATION, "write_mode
              "SELECT * FROM nation WHERE n_nationkey < 10 UNION ALL SELECT k::INT, 'N' || k, (k % 5)::INT FROM range(10, 3010) r(k)")
 
 
+def _undone(s: Session) -> DataFrame:
+    """A sequence that fails late leaves nothing of what went before."""
+    try:
+        s.execute([{"query": {"relation": "region"}, "data": [{"r_regionkey": 8, "r_name": "EIGHT"}]}, {"query": {"relation": "region", "write_mode": "delete", "where": ["=", dot("r_regionkey"), 1]}}, {"query": _NATION, "data": [{"n_nationkey": 3}]}])
+    except QueryError:
+        return s.frame({"relation": "region"})
+    raise AssertionError("a taken key was inserted")
+
+
+add_function("e9_atomicity", _undone, "SELECT * FROM region")
+
+
 def _framed(mode: str, keys: str) -> Callable[[Session], DataFrame]:
     """Orders written from a frame, which never passes the driver."""
     def run(s: Session) -> DataFrame:
