@@ -307,6 +307,7 @@ TIME = ["::", "2024-03-05 14:07:09.123456", "timestamp"]
     (call("jsonb_extract_path_text", '{"a.b": {"c": [5, 6]}}', "a.b", "c", "1"), "6"), (call("jsonb_extract_path", '{"a\'b": {"c": [5]}}', "a'b"), {"c": [5]}), (call("jsonb_extract_path_text", '{"a": 1}', "z"), None),
     (call("jsonb_set", '{"a": {"b": 1}}', "{a,b}", ["::", "[2]", "jsonb"]), {"a": {"b": [2]}}), (call("jsonb_set", '{"a": [1, 2]}', ["array", "a", "-1"], call("to_jsonb", 9)), {"a": [1, 9]}), (call("jsonb_set", '{"a": 1}', "{b}", call("to_jsonb", 2), False), {"a": 1}),
     (call("jsonb_insert", '{"a": [1, 2]}', "{a,0}", call("to_jsonb", 9), True), {"a": [1, 9, 2]}), (call("jsonb_strip_nulls", '{"a": null, "b": [null, {"c": null}]}'), {"b": [None, {}]}), (["||", ["::", '{"a": 1}', "jsonb"], ["::", '{"b": 2}', "jsonb"]], {"a": 1, "b": 2}),
+    (["-", ["::", '{"a": 1, "b": 2, "c": 3}', "jsonb"], "a", ["array", "c", "z"]], {"b": 2}), (["-", ["::", '["a", 1, "b"]', "jsonb"], -1, "a"], [1]),
     (call("jsonb_typeof", ["::", "[1]", "jsonb"]), "array"), (call("jsonb_array_length", ["::", "[1, 2]", "jsonb"]), 2), (["@>", ["::", '{"a": [1, {"b": 2}], "c": 3}', "jsonb"], ["::", '{"a": [{"b": 2}]}', "jsonb"]], True), (["<@", ["::", "[1]", "jsonb"], ["::", "[2, 1.0]", "jsonb"]], True),
     (call("div", ["bigint", "9007199254740993"], 1), 9007199254740993), (call("div", -7, 2), -3), (call("div", ["numeric", "7.5"], 2), 3), (call("trunc", ["bigint", "9007199254740993"]), 9007199254740993), (call("trunc", ["numeric", "-12.345"], 2), Decimal("-12.34")), (call("trunc", 1299, -2), 1200),
     (call("age", ["::", "2024-03-05", "timestamp"], ["::", "2023-01-01", "timestamp"]), "1 year 2 mons 4 days"), (call("age", ["::", "2024-03-01", "timestamp"], ["::", "2024-01-31 12:00", "timestamp"]), "1 mon 12:00:00"), (call("age", ["::", "2023-01-01", "date"], ["::", "2024-03-05", "date"]), "-1 years -2 mons -4 days"), (call("age", TIME, TIME), "00:00:00"),

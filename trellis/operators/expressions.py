@@ -3,6 +3,7 @@ whole division of integers, ``^`` as power, 1-based array access without errors,
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Callable
@@ -118,6 +119,12 @@ class Compiler:
         return out
 
     def _arithmetic(self, e: Expr) -> Column:
+        if e.op == "-" and isinstance(self.type_of(first := self(e.args[0])), T.VariantType):
+            known = [self.constant(x) for x in e.args[1:]]
+            if None in known:
+                raise invalid("keys to leave out are literal")
+            gone = [k for (v,) in known for k in (v if isinstance(v, list) else [v])]
+            return jsons.edited(lambda x: functools.reduce(jsons.without, gone, x), jsons.text(first, T.VariantType()))
         return self._left(e, {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "%": lambda a, b: a % b, "^": F.pow,
                               "|": lambda a, b: a.bitwiseOR(b), "&": lambda a, b: a.bitwiseAND(b)}[e.op])
 
