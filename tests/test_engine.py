@@ -426,3 +426,16 @@ def test_frames_are_refused(s, spark, q, rows, code):
     with pytest.raises(QueryError) as e:
         s.execute({"query": q, "data": spark.sql(rows if rows.startswith("select") else "select * from " + rows)})
     assert e.value.code == code and s.count({"relation": "chain"}) == 1
+
+
+def test_json_edits_need_no_package_in_workers():
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    from trellis.functions import jsons
+
+    made = [jsons.holding({"a": [1]}), jsons.held_by([1, 2]), jsons.without_all(["a"]), jsons.placed(["a", "b"], True, False), jsons.merged, jsons.stripped, jsons.holds]
+    code = "import sys; from pyspark import cloudpickle; f = cloudpickle.loads(sys.stdin.buffer.read()); print(f[0]({'a': [1, 2]}), f[1]([2]), f[2]({'a': 1}), f[3]({'a': {}}, 5), f[4]([1], 2), f[5]({'a': None}), f[6](1, 1), 'trellis' in sys.modules)"
+    out = subprocess.run([sys.executable, "-c", code], input=cloudpickle.dumps(made), cwd="/", env={"PATH": "/usr/bin:/bin"}, capture_output=True, check=True)
+    assert out.stdout.decode().strip() == "True True {} {'a': {'b': 5}} [1, 2] {} True False"

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import functools
 import json
+import sys
 from collections.abc import Callable
 from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import invalid
 
+# edits travel to Python workers as they are, which need not find this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 NESTED = (T.StructType, T.ArrayType, T.MapType)
 
 
@@ -80,6 +85,15 @@ def holds(x: Any, y: Any) -> bool:
     return isinstance(x, bool) == isinstance(y, bool) and x == y
 
 
+def holding(part: Any) -> Callable[[Any], bool]:
+    """Containment of one literal document."""
+    return lambda x: holds(x, part)
+
+
+def held_by(whole: Any) -> Callable[[Any], bool]:
+    return lambda y: holds(whole, y)
+
+
 def merged(x: Any, y: Any) -> Any:
     """What ``||`` makes of two documents: objects merge, all else is a list."""
     if isinstance(x, dict) and isinstance(y, dict):
@@ -128,3 +142,7 @@ def without(x: Any, step: str | int) -> Any:
         at = None if not isinstance(step, int) else step + len(x) if step < 0 else step
         return [v for i, v in enumerate(x) if (i != at if at is not None else v != step)]
     return x
+
+
+def without_all(steps: list[str | int]) -> Callable[[Any], Any]:
+    return lambda x: functools.reduce(without, steps, x)

@@ -3,7 +3,6 @@ whole division of integers, ``^`` as power, 1-based array access without errors,
 
 from __future__ import annotations
 
-import functools
 import json
 import re
 from collections.abc import Callable
@@ -124,7 +123,7 @@ class Compiler:
             if None in known:
                 raise invalid("keys to leave out are literal")
             gone = [k for (v,) in known for k in (v if isinstance(v, list) else [v])]
-            return jsons.edited(lambda x: functools.reduce(jsons.without, gone, x), jsons.text(first, T.VariantType()))
+            return jsons.edited(jsons.without_all(gone), jsons.text(first, T.VariantType()))
         return self._left(e, {"+": lambda a, b: a + b, "-": lambda a, b: a - b, "*": lambda a, b: a * b, "%": lambda a, b: a % b, "^": F.pow,
                               "|": lambda a, b: a.bitwiseOR(b), "&": lambda a, b: a.bitwiseAND(b)}[e.op])
 
@@ -248,10 +247,10 @@ class Compiler:
         # a literal document is parsed once
         if known[1] is not None and known[0] is None:
             part = json.loads(known[1][0]) if isinstance(known[1][0], str) else known[1][0]
-            return jsons.tested(lambda x: jsons.holds(x, part), texts[0])
+            return jsons.tested(jsons.holding(part), texts[0])
         if known[0] is not None and known[1] is None:
             whole = json.loads(known[0][0]) if isinstance(known[0][0], str) else known[0][0]
-            return jsons.tested(lambda y: jsons.holds(whole, y), texts[1])
+            return jsons.tested(jsons.held_by(whole), texts[1])
         return jsons.tested(jsons.holds, *texts)
 
     def _ranges(self, e: Expr) -> Column:
